@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
+from . import automata
+from .automata import op10_automaton_substring_dedup
 from .mixing import op5_subset_sum_mixing
 from .packing import op1_best_fit_packing
 from .resharding import op6_min_cost_flow_resharding
+from .simhash import op3_simhash_near_dedup
+from .suffix_array import op8_suffix_array_dedup
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op5_subset_sum_mixing, op6_min_cost_flow_resharding)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing,
+        op3_simhash_near_dedup,
+        op5_subset_sum_mixing,
+        op6_min_cost_flow_resharding,
+        op8_suffix_array_dedup,
+        op10_automaton_substring_dedup,
+    )
+}
+ORACLES: dict[str, str] = {"op10_automaton_substring_dedup": automata.ORACLE}
