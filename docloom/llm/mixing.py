@@ -132,10 +132,10 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with every row as often as the mix takes it. Rows of one
     ``doc_id`` get each the mean of what the mix takes of them, rounded."""
     times = F.round(F.sum("taken") / F.nullif(F.sum("size"), F.lit(0))).cast("int")
-    picks = written(mix(docs, **how).groupBy("doc_id").agg(times.alias("_times")).filter("_times > 0"), "picks")
-    renamed = picks.withColumnRenamed("doc_id", "_id")
-    both = sized_join(docs, renamed, F.col("doc_id").eqNullSafe(F.col("_id")), "inner", 16)
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    picks = written(mix(docs, **how).groupBy("doc_id").agg(times.alias("_docloom_times")).filter("_docloom_times > 0"), "picks")
+    renamed = picks.withColumnRenamed("doc_id", "_docloom_id")
+    both = sized_join(docs, renamed, F.col("doc_id").eqNullSafe(F.col("_docloom_id")), "inner", 16)
+    return both.withColumn("_docloom_copy", F.explode(F.sequence(F.lit(1), F.col("_docloom_times")))).select(*docs.columns)
 
 
 def op5_subset_sum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from . import automata
 from .automata import op10_automaton_substring_dedup
+from .fertility import op7_tokeniser_fertility
 from .mixing import op5_subset_sum_mixing
+from .neighbours import op9_rotated_code_neighbours
 from .packing import op1_best_fit_packing
+from .privacy import op4_information_theoretic_pii
+from .quality import op2_fourier_quality_classifier
 from .resharding import op6_min_cost_flow_resharding
 from .simhash import op3_simhash_near_dedup
 from .suffix_array import op8_suffix_array_dedup
@@ -14,10 +18,14 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
+        op2_fourier_quality_classifier,
         op3_simhash_near_dedup,
+        op4_information_theoretic_pii,
         op5_subset_sum_mixing,
         op6_min_cost_flow_resharding,
+        op7_tokeniser_fertility,
         op8_suffix_array_dedup,
+        op9_rotated_code_neighbours,
         op10_automaton_substring_dedup,
     )
 }

@@ -265,15 +265,15 @@ def deduplicated(docs: DataFrame, **how) -> DataFrame:
     texts, as nothing tells them apart. Texts are shuffled only for such rows
     and for repeated ids."""
     found = written(near_duplicates(docs, **how).select("doc_id", "component_id"), "found")
-    gone = written(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "gone")
-    again = written(found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).count().filter("count > 1").select("_id"), "again")
-    kept = sized_join(docs, gone, F.col("doc_id") == F.col("_id"), "left_anti", 16)
+    gone = written(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_docloom_id")).distinct(), "gone")
+    again = written(found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_docloom_id")).count().filter("count > 1").select("_docloom_id"), "again")
+    kept = sized_join(docs, gone, F.col("doc_id") == F.col("_docloom_id"), "left_anti", 16)
     nameless = kept.filter("doc_id is null").dropDuplicates(["text"])
     named = kept.filter("doc_id is not null")
     if again.isEmpty():
         return named.unionByName(nameless)
-    once = sized_join(named, again, F.col("doc_id") == F.col("_id"), "left_anti", 16)
-    more = sized_join(named, again, F.col("doc_id") == F.col("_id"), "left_semi", 16)
+    once = sized_join(named, again, F.col("doc_id") == F.col("_docloom_id"), "left_anti", 16)
+    more = sized_join(named, again, F.col("doc_id") == F.col("_docloom_id"), "left_semi", 16)
     return once.unionByName(more.dropDuplicates(["doc_id"])).unionByName(nameless)
 
 
