@@ -1,4 +1,9 @@
-"""The corpus pipeline: every stage works on all that its predecessor kept."""
+"""The corpus pipeline: every stage works on all that its predecessor kept.
+
+A stage takes the rows its predecessor returned, whole texts of all documents,
+and returns rows with the columns of ``documents``; the last one returns where
+every piece of every document lies in the training sequences.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +12,24 @@ from pyspark.sql import DataFrame, SparkSession
 from docloom.llm.common import documents, written
 from docloom.llm.mixing import mixed_documents
 from docloom.llm.packing import pack
+from docloom.llm.privacy import sanitised
+from docloom.llm.quality import accepted
+from docloom.llm.simhash import deduplicated
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents the classifier rejects."""
+    return accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return deduplicated(docs)
+
+
+def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without personal data and terms that reveal it."""
+    return sanitised(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,9 +42,15 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs)
 
 
-STAGES = [("mixing", mixing), ("packing", packing)]
+STAGES = [
+    ("quality classifier", quality),
+    ("SimHash near-dedup", near_duplicates),
+    ("PII", privacy),
+    ("mixing to target weights", mixing),
+    ("best-fit packing", packing),
+]
 
-#: Tokenisers, learned scores and fingerprints are beyond SQL.
+#: Learned scores, fingerprints and tokenisers are beyond SQL.
 ORACLE_SQL = None
 
 
@@ -30,5 +59,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = written(docs, name)
+            docs = written(docs, f"stage{k}")
     return docs
