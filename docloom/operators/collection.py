@@ -115,7 +115,7 @@ class Collection:
         tree = _tree(p)
         fields = sorted(tree.referenced())
         df = find(self.df, tree, self.variant)
-        plan = df._jdf.queryExecution().explainString(df._jdf.sparkSession()._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")) if hasattr(df, "_jdf") else ""
+        plan = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
         return {"tree": tree.tree(), "fields": fields, "indexed": [f for f in fields if self.indexes.has(f)], "pushed": [ln.strip() for ln in plan.splitlines() if "PushedFilters" in ln], "plan": plan}
 
     # indexes ------------------------------------------------------------------

@@ -194,8 +194,8 @@ class Store:
         every = self.versions()
         for v in every[:-keep]:
             self.files.delete(self._name(v))
-        used = {p.split("/")[0] for v in every[-keep:] for p in self.manifest(v)["files"].values()}
-        gone = [d for d in self.files.names(f"{self.root}/data") if d not in used]
-        for d in gone:
-            self.files.delete(f"{self.root}/data/{d}")
+        used = {p for v in every[-keep:] for p in self.manifest(v)["files"].values()}
+        gone = [f"{d}/{b}" for d in self.files.names(f"{self.root}/data") for b in self.files.names(f"{self.root}/data/{d}") if b.startswith("_bucket=") and f"{d}/{b}" not in used]
+        for p in gone:
+            self.files.delete(f"{self.root}/data/{p}")
         return len(gone)
