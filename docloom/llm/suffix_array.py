@@ -146,9 +146,13 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, limit: i
             body = [raw[a:b] for a, b in zip(lo[use][cold].tolist(), (hi[use][cold] + span).tolist())]
             cols = [h[use].view(np.int64)[cold], k1[d][cold], k2[d][cold], (lo[use] - off[d]).astype(np.int32)[cold], (at[use] - lo[use]).astype(np.int32)[cold], many[cold]]
             windows: list[list] = [[], [], [], [], [], [], []]
+            seen: set[int] = set()  # a window may have several anchors of one hash
             for i in np.flatnonzero(hot_).tolist():
                 u = use[i]
                 for s in range(int(lo[u]), int(hi[u]) + 1):
+                    if s in seen:
+                        continue
+                    seen.add(s)
                     for col, v in zip(windows, (None, int(k1[d[i]]), int(k2[d[i]]), s - int(off[d[i]]), 0, int(many[i]), xxhash.xxh3_128_digest(raw[s : s + span]))):
                         col.append(v)
             types = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.binary()]

@@ -19,7 +19,7 @@ def rows(spark, ids, x):
 def test_recall(spark):
     rng = np.random.default_rng(3)
     ids = rng.permutation(3000)
-    x = rng.standard_normal((3000, 48)).astype(np.float32).astype(float) * rng.uniform(0.2, 3, (3000, 1))
+    x = (rng.standard_normal((3000, 48)) * rng.uniform(0.2, 3, (3000, 1))).astype(np.float32).astype(float)
     x[5] = x[6]
     got = N.nearest(rows(spark, ids, x)).toPandas()
     queries = [q for q in ids.tolist() if q % 20 == 0]
