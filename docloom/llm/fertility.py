@@ -28,9 +28,9 @@ from .repeats import SPACE, byte_symbols, gram_hashes, range_hashes, words_of
 
 VOCABULARIES = ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken")
 MEASURES = ("chars_per_token", "chars_per_token_multi", "fallback_share", "token_entropy")
-REACH = 4.0
+REACH = 6.0
 #: No band is narrower than its median plus and minus this.
-FLOOR = (1.0, 1.0, 0.05, 0.12)
+FLOOR = (0.2, 0.2, 0.1, 0.2)
 LEAST = 50
 MIN_WORDS = 50
 WINDOW = 3
