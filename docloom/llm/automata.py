@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, chunks, documents, texts, written
-from .repeats import HOT, Repeated, anchors, keyed, range_hashes, byte_symbols, with_spans, words_of
+from .repeats import HOT, SLICE, Repeated, anchors, byte_symbols, keyed, range_hashes, with_spans, words_of
 from .suffix_array import hot_anchors
 
 WINDOW = 13
@@ -166,7 +166,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, limi
     look = repeated.found()
 
     def reads(batches):
-        for part, data, off in chunks(batches):
+        for part, data, off in chunks(batches, limit=SLICE):
             rank, k1, k2 = (part.column(i).to_numpy() for i in range(3))
             starts, ends, bounds, at, h, lo, hi, doc = word_anchors(data, off)
             again, is_hot = look(part, h)

@@ -19,6 +19,8 @@ from .common import BROADCAST_BYTES, chunks, sized_join, text_bytes, written
 #: An anchor with more occurrences than this isn't gathered in one task: its
 #: windows are compared by 128-bit digests, which Spark aggregates map-side.
 HOT = 1 << 16
+#: Bytes of text at a time: hashes and minima take some 100 times as much.
+SLICE = 1 << 20
 
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -30,7 +32,7 @@ _powers: list[np.ndarray] = []
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        m = 1 << max(22, int(n - 1).bit_length())
+        m = 1 << max(20, int(n - 1).bit_length())
         _powers[:] = [np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(m - 1, b, np.uint64)))) for b in (_BASE, _INVERSE)]
     return _powers[0][:n], _powers[1][:n]
 
@@ -128,7 +130,7 @@ class Repeated:
         """``find(data, off)`` -> anchors of a chunk and their documents."""
 
         def count(batches):
-            for _, data, off in chunks(batches):
+            for _, data, off in chunks(batches, limit=SLICE):
                 h, doc = find(data, off)
                 # a hash counts once a document if find says so, else each time
                 u, n = np.unique(h, return_counts=True)
@@ -145,7 +147,7 @@ class Repeated:
             return
 
         def where(batches):
-            for part, data, off in chunks(batches):
+            for part, data, off in chunks(batches, limit=SLICE):
                 h, doc = find(data, off)
                 pair = np.unique(np.stack((doc.astype(np.int64), h.view(np.int64))), axis=1) if len(h) else np.zeros((2, 0), np.int64)
                 d = pa.array(pair[0])

@@ -29,8 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, chunks, documents, texts
-from .repeats import HOT, Repeated, anchors, byte_symbols, keyed, with_spans
+from .common import BROADCAST_BYTES, chunks, documents, texts, written
+from .repeats import HOT, SLICE, Repeated, anchors, byte_symbols, keyed, with_spans
 
 SPAN = 200
 GRAM = 64
@@ -98,14 +98,13 @@ def read_spans(h: list[int], lead: list[int], copies: list[int], raw: list[bytes
     flags: dict[int, np.ndarray] = {}
     need = np.flatnonzero(size > 1)
     width = w - 1 + span
-    for p in range(0, 1):
-        if len(need):
-            rows = b"".join(b"\xff" * (w - 1 - keys[i][1]) + keys[i][2] + b"\xff" * (width - (w - 1 - keys[i][1]) - len(keys[i][2])) for i in need.tolist())
-            m = np.ascontiguousarray(np.frombuffer(rows, np.uint8).reshape(len(need), width).T)
-            found = repeated_windows(group_of[need], m, span)
-            for col, i in enumerate(need.tolist()):
-                a = w - 1 - keys[i][1]
-                flags[i] = found[a : a + len(keys[i][2]) - span + 1, col]
+    if len(need):
+        rows = b"".join(b"\xff" * (w - 1 - keys[i][1]) + keys[i][2] + b"\xff" * (width - (w - 1 - keys[i][1]) - len(keys[i][2])) for i in need.tolist())
+        m = np.ascontiguousarray(np.frombuffer(rows, np.uint8).reshape(len(need), width).T)
+        found = repeated_windows(group_of[need], m, span)
+        for col, i in enumerate(need.tolist()):
+            a = w - 1 - keys[i][1]
+            flags[i] = found[a : a + len(keys[i][2]) - span + 1, col]
     spans = []
     for i, k in enumerate(keys):
         if many[i] > 1:
@@ -130,7 +129,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, limit: i
     look = repeated.found()
 
     def reads(batches):
-        for part, data, off in chunks(batches):
+        for part, data, off in chunks(batches, limit=SLICE):
             k1, k2 = (part.column(i).to_numpy() for i in (0, 1))
             # copies within the slice are read once, and marked
             first, which, copies = np.unique(np.stack((k1, k2), 1), axis=0, return_index=True, return_inverse=True, return_counts=True)[1:]
@@ -163,7 +162,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, limit: i
         for b in batches:
             got = {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
             held = {n: held.get(n, []) + v for n, v in got.items()}
-            if len(held["h"]) < 1 << 15:
+            if len(held["h"]) < 1 << 13:
                 continue
             end = next((i for i in range(len(held["h"]) - 1, 0, -1) if held["h"][i] != held["h"][i - 1]), 0)
             if end:
@@ -181,8 +180,6 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, limit: i
     cols = ["k1", "k2", "text"] + ([] if repeated.shared is not None else ["again", "hot"])
     got = repeated.docs.select(*cols).mapInArrow(reads, READ)
     if hot_anchors(repeated):
-        from .common import written
-
         got = written(got, "reads")
         w = got.filter("h is null").select("bytes", "k1", "k2", F.col("first").alias("s"), "copies")
         twice = w.groupBy("bytes").agg(F.sum("copies").alias("many")).filter("many > 1").select("bytes")
