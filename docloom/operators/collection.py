@@ -9,13 +9,14 @@ from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..errors import DocumentNotFound, IndexMissing
+from ..errors import DocumentNotFound, IndexMissing, StorageError
 from ..plans import predicates as P
 from ..plans.builder import Where
 from ..plans.cache import ResultCache
 from ..plans.compiler import compile_predicate
-from ..sources.store import ID, Store
+from ..sources.store import ID, VERSION, Store
 from .indexes import Indexes
 from .keyindex import KeyIndex
 
@@ -55,6 +56,55 @@ class Collection:
     def __len__(self) -> int:
         return self.source.count() if isinstance(self.source, Store) else self.source.count()
 
+    # writing ----------------------------------------------------------------
+
+    def _store(self) -> Store:
+        if not isinstance(self.source, Store):
+            raise StorageError("a collection over a DataFrame is read-only")
+        return self.source
+
+    def _rows(self, docs: DataFrame | dict | Sequence[dict]) -> DataFrame:
+        if isinstance(docs, DataFrame):
+            return docs
+        docs = [docs] if isinstance(docs, dict) else list(docs)
+        schema = T.StructType([f for f in self.df.schema if f.name != VERSION])
+        return self._store().spark.createDataFrame([tuple(d.get(f.name) for f in schema) for d in docs], schema)
+
+    def insert(self, docs: DataFrame | dict | Sequence[dict]) -> int:
+        """New documents, all or none; those without an id get one."""
+        return self._store().insert(self._rows(docs))
+
+    def update(self, docs: DataFrame | dict | Sequence[dict]) -> int:
+        return self._store().update(self._rows(docs))
+
+    def upsert(self, docs: DataFrame | dict | Sequence[dict]) -> int:
+        return self._store().upsert(self._rows(docs))
+
+    def update_where(self, p: P.Predicate | Where, assignments: dict) -> int:
+        """Sets columns to expressions of the row, in all matches at once."""
+        return self._store().update_where(compile_predicate(_tree(p), self.df, self.variant), assignments)
+
+    def delete(self, *ids: str) -> int:
+        """How many of the ids there were."""
+        return self._store().delete(self._store().spark.createDataFrame([(i,) for i in ids], f"{ID} string"))[1]
+
+    def delete_or_raise(self, id_: str) -> None:
+        if not self.delete(id_):
+            raise DocumentNotFound(id_)
+
+    def delete_where(self, p: P.Predicate | Where) -> int:
+        return self._store().delete(self.find(p, bypass_cache=True).select(ID))[1]
+
+    def delete_all(self) -> int:
+        n = len(self)
+        self._store().delete_all()
+        return n
+
+    def dispose(self) -> None:
+        self.indexes.clear()
+        if self.cache is not None:
+            self.cache.clear()
+
     # by id ------------------------------------------------------------------
 
     def get(self, id_) -> Row | None:

@@ -94,9 +94,9 @@ class TextIndex:
         times = F.create_map(*[F.lit(x) for t, n in weights.items() for x in (t, n)])
         tf = self._of(list(weights)).groupBy("term", "id").agg(F.count("*").alias("tf"))
         df = tf.groupBy("term").agg(F.count("*").alias("df"))
-        total = self.postings.agg(F.count_distinct("id").alias("total"))
-        rows = tf.join(F.broadcast(df), "term").join(F.broadcast(total))  # a row per query term, and one row
-        idf = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.log2(F.col("total") / F.col("df"))))
+        total = self.postings.agg(F.count_distinct("id")).scalar()
+        rows = tf.join(F.broadcast(df), "term")  # a row per query term
+        idf = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.log2(total / F.col("df"))))
         score = F.sum(times[F.col("term")] * (1 + F.log2("tf")) * idf)
         return rows.groupBy("id").agg(score.alias("score")).orderBy(F.desc("score"), "id")
 

@@ -333,9 +333,9 @@ register("migrate_rename", "SELECT s_suppkey AS id, s_name AS title, CASE WHEN s
 
 @register("migrate_peers", "SELECT s_suppkey AS id, s_name, count(*) OVER () - 1 AS peers FROM supplier")
 def migrate_peers(spark, sf_dir):
-    """A count over all documents, joined as one row: no single-task window."""
+    """A count over all documents as a scalar subquery: no single-task window."""
     s = suppliers(spark, sf_dir).select("id", "s_name")
-    return s.join(F.broadcast(s.agg((F.count("*") - 1).alias("peers"))))
+    return s.withColumn("peers", s.agg(F.count("*") - 1).scalar())
 
 
 # access -------------------------------------------------------------------

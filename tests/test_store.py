@@ -175,6 +175,21 @@ def test_database(spark, tmp_path):
     assert db.names() == []
 
 
+def test_collection_writes(spark, tmp_path):
+    c = Database(spark, str(tmp_path / "db"), 2).collection("things", SCHEMA)
+    c.insert([{"id": "a", "name": "A", "price": 1.0}, {"id": "b", "name": "B"}, {"name": "no id"}])
+    assert len(c) == 3 and c.get("b")["price"] is None
+    c.update({"id": "a", "name": "A2", "price": 3.0})
+    c.update_where(P.IsNull("price"), {"price": F.lit(7.0)})
+    assert c.get("a")["name"] == "A2" and c.count_where(P.Equals("price", 7)) == 2
+    assert c.delete("a", "nobody") == 1 and c.delete_where(P.Equals("name", "B")) == 1
+    with pytest.raises(DocumentNotFound):
+        c.delete_or_raise("a")
+    c.upsert({"id": "z", "name": "Z", "price": 0.0})
+    assert c.delete_all() == 2 and len(c) == 0
+    c.dispose()
+
+
 def test_cache(spark):
     now = [0.0]
     c = ResultCache(most=2, seconds=10, clock=lambda: now[0])
