@@ -48,10 +48,25 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     Cuts the lineage with a copy that outlives any executor, and lets several
     later passes read only the columns they need."""
     path = f"{workdir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_made: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the intermediate tables this process has written; to be called
+    when the results that build on them are stored."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    n = len(_made)
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
 def text_bytes(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 

@@ -21,6 +21,8 @@ from .common import BROADCAST_BYTES, chunks, sized_join, text_bytes, written
 HOT = 1 << 16
 #: Bytes of text at a time: hashes and minima take some 100 times as much.
 SLICE = 1 << 20
+#: Symbols of one text at a time, for the same reason.
+PART = 1 << 20
 
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -44,7 +46,17 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def range_hashes(symbols: np.ndarray, start: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
-    """Polynomial hashes of symbols[start:end], for arrays of bounds."""
+    """Polynomial hashes of symbols[start:end], for arrays of ascending bounds.
+    Those of a very long text are worked on in parts, as hashes don't depend on
+    where a range lies."""
+    if not isinstance(start, slice) and len(symbols) > 2 * PART and len(start) > 1:
+        out, i = [], 0
+        while i < len(start):
+            j = max(i + 1, int(np.searchsorted(end, start[i] + PART, "right")))
+            a = int(start[i])
+            out.append(range_hashes(symbols[a : int(end[j - 1])], start[i:j] - a, end[i:j] - a))
+            i = j
+        return np.concatenate(out)
     up, down = _tables(len(symbols) + 1)
     total = np.zeros(len(symbols) + 1, np.uint64)
     np.cumsum(symbols * up[:-1], out=total[1:])
@@ -85,6 +97,13 @@ def anchors(symbols: np.ndarray, off: np.ndarray, span: int, k: int) -> tuple[np
     window (by start) of which it is one. ``off``: documents' bounds."""
     none = np.zeros(0, np.int64)
     n, w = len(symbols), span - k + 1
+    if n > 2 * PART:  # windows by their starts; parts overlap by a window
+        found = []
+        for a in range(0, n, PART):
+            b = min(a + PART + span - 1, n)
+            inner = off[(off > a) & (off < b)]
+            found.append([x + a if i != 1 else x for i, x in enumerate(anchors(symbols[a:b], np.concatenate(([0], inner - a, [b - a])), span, k))])
+        return tuple(np.concatenate(c) for c in zip(*found))
     fits = off[1:] - off[:-1] >= span
     if n < span or not fits.any():
         return none, none.astype(np.uint64), none, none
@@ -153,8 +172,8 @@ class Repeated:
                 d = pa.array(pair[0])
                 yield pa.RecordBatch.from_arrays([part.column(1).take(d), part.column(2).take(d), pa.array(pair[1])], names=["k1", "k2", "h"])
 
-        own = docs.select("text", "k1", "k2").mapInArrow(where, "k1 long, k2 long, h long").distinct().join(rep, "h")
-        own = own.groupBy("k1", "k2").agg(F.collect_list("h").alias("again"), F.collect_list(F.when(F.col("hot"), F.col("h"))).alias("hot"))
+        own = docs.select("text", "k1", "k2").mapInArrow(where, "k1 long, k2 long, h long").join(rep, "h")
+        own = own.groupBy("k1", "k2").agg(F.collect_set("h").alias("again"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("hot"))
         self.docs = docs.join(own, ["k1", "k2"])
 
     def found(self):
