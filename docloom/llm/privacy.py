@@ -145,10 +145,9 @@ def disclosing(docs: DataFrame, near: DataFrame, support: int = SUPPORT, disclos
         spread = wanted.withColumn("n", F.lit(1).cast("long"))
     else:
         spread = docs.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).join(wanted, "term", "left_semi")
-    everything = docs.sparkSession.sql("select 1 as one").select(F.lit(max(2, docs.count())).alias("total"))
     own = pairs.filter("term = ''").select("entity", F.col("together").alias("mentions"))
-    got = pairs.filter("term <> ''").join(spread, "term").join(own, "entity").join(F.broadcast(everything))
-    total = F.col("total").cast("double")
+    got = pairs.filter("term <> ''").join(spread, "term").join(own, "entity")
+    total = F.lit(float(max(2, docs.count())))
     # a term counts at least as often as it was seen near the entity
     apart = F.greatest(F.col("n"), F.col("together")).cast("double")
     pmi = F.log2(F.col("together") * total / (apart * F.col("mentions")))
