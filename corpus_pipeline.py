@@ -8,6 +8,7 @@ every piece of every document lies in the training sequences.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docloom.llm.common import documents, written
 from docloom.llm.mixing import mixed_documents
@@ -28,8 +29,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without personal data and terms that reveal it."""
-    return sanitised(docs)
+    """Texts without personal data and terms that reveal it; ``n_chars``, where
+    there is one, is that of the new text."""
+    clean = sanitised(docs)
+    return clean.withColumn("n_chars", F.length("text").cast(clean.schema["n_chars"].dataType)) if "n_chars" in clean.columns else clean
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
