@@ -21,12 +21,14 @@ class TextIndex:
     name: str
     postings: DataFrame
     config: TextConfig = field(default_factory=TextConfig)
+    #: (id, tokens), if the index isn't a stored one: counts documents unexploded.
+    tokens: DataFrame | None = None
 
     @classmethod
     def build(cls, df: DataFrame, name: str, id_: str = "id", config: TextConfig | None = None) -> TextIndex:
         config = config or TextConfig()
-        tokens = config.column(F.col(name))
-        return cls(name, df.select(F.col(id_).alias("id"), F.posexplode(tokens).alias("pos", "term")).select("term", "id", "pos"), config)
+        tokens = df.select(F.col(id_).alias("id"), config.column(F.col(name)).alias("tokens"))
+        return cls(name, tokens.select("id", F.posexplode("tokens").alias("pos", "term")).select("term", "id", "pos"), config, tokens)
 
     def _of(self, terms: Sequence[str]) -> DataFrame:
         return self.postings.filter(F.col("term").isin(*terms))
@@ -94,7 +96,8 @@ class TextIndex:
         times = F.create_map(*[F.lit(x) for t, n in weights.items() for x in (t, n)])
         tf = self._of(list(weights)).groupBy("term", "id").agg(F.count("*").alias("tf"))
         df = tf.groupBy("term").agg(F.count("*").alias("df"))
-        total = self.postings.agg(F.count_distinct("id")).scalar()
+        some = self.postings if self.tokens is None else self.tokens.filter(F.size("tokens") > 0)
+        total = some.agg(F.count_distinct("id")).scalar()
         rows = tf.join(F.broadcast(df), "term")  # a row per query term
         idf = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.log2(total / F.col("df"))))
         score = F.sum(times[F.col("term")] * (1 + F.log2("tf")) * idf)

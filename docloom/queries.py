@@ -18,6 +18,7 @@ from .operators.keyindex import KeyIndex
 from .operators.textindex import TextIndex
 from .plans import predicates as P
 from .plans.builder import Where
+from .sources.spread import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -158,12 +159,12 @@ SELECT DISTINCT a.doc_id, a.lang FROM h a, h b, h c WHERE a.doc_id = b.doc_id AN
 
 @register("ft_scan_proximity", _NEAR)
 def ft_scan_proximity(spark, sf_dir):
-    return find(table(spark, sf_dir, "documents"), P.TextNear("text", ("the", "of", "and"), 4)).select("doc_id", "lang")
+    return find(spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")), P.TextNear("text", ("the", "of", "and"), 4)).select("doc_id", "lang")
 
 
 # the inverted index -------------------------------------------------------
 def text_index(spark: SparkSession, sf_dir: str, config: TextConfig | None = None) -> TextIndex:
-    return TextIndex.build(table(spark, sf_dir, "documents"), "text", "doc_id", config)
+    return TextIndex.build(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text", "doc_id", config)
 
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
