@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.spread import spread
+
 #: A side is broadcast only if its measured size is below this many bytes.
 BROADCAST_BYTES = 32 << 20
 #: Python stages work on at most this many bytes of text at a time.
@@ -23,7 +25,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def workdir(spark: SparkSession) -> str:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, rank_within, written
+from .common import rank_within, written
 
 SHARDS = 16
 FINE = 256
@@ -171,5 +171,5 @@ def rewrite_affected(docs: DataFrame, placed: DataFrame, out: str) -> list[int]:
 
 
 def op6_min_cost_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = reshard(file_shards(documents(spark, sf_dir)))
+    placed = reshard(file_shards(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
