@@ -28,7 +28,9 @@ class TextIndex:
     def build(cls, df: DataFrame, name: str, id_: str = "id", config: TextConfig | None = None) -> TextIndex:
         config = config or TextConfig()
         tokens = df.select(F.col(id_).alias("id"), config.column(F.col(name)).alias("tokens"))
-        return cls(name, tokens.select("id", F.posexplode("tokens").alias("pos", "term")).select("term", "id", "pos"), config, tokens)
+        # the outer form: for the inner one Catalyst infers filters that tokenise twice more
+        postings = tokens.select("id", F.posexplode_outer("tokens").alias("pos", "term")).filter("term is not null")
+        return cls(name, postings.select("term", "id", "pos"), config, tokens)
 
     def _of(self, terms: Sequence[str]) -> DataFrame:
         return self.postings.filter(F.col("term").isin(*terms))

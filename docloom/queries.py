@@ -146,7 +146,7 @@ TEXT = "doc_id, lang"
 predicate("ft_scan_all", "documents", TEXT, P.TextAll("text", "The, that!"), "contains(lower(text), 'the') AND contains(lower(text), 'that')")
 predicate("ft_scan_any", "documents", TEXT, P.TextAny("text", ("quees", "that")), "contains(lower(text), 'quees') OR contains(lower(text), 'that')")
 predicate("ft_scan_phrase", "documents", TEXT, P.TextPhrase("text", "of the"), "contains(lower(text), 'of the')")
-predicate("ft_scan_prefix", "documents", TEXT, P.TextPrefix("text", "thto"), r"len(list_filter(string_split_regex(lower(text), '[\s\p{P}]+'), lambda t: starts_with(t, 'thto'))) > 0")
+predicate("ft_scan_prefix", "documents", TEXT, P.TextPrefix("text", "chzu"), r"len(list_filter(string_split_regex(lower(text), '[\s\p{P}]+'), lambda t: starts_with(t, 'chzu'))) > 0")
 predicate("ft_scan_not_any", "documents", TEXT, ~P.TextAny("text", ("the", "de")), "text IS NULL OR NOT (contains(lower(text), 'the') OR contains(lower(text), 'de'))")
 
 _NEAR = r"""
@@ -174,22 +174,26 @@ postings AS (SELECT doc_id AS id, unnest(ts) AS term, unnest(range(len(ts))) AS
 
 register("ft_index_df", f"WITH {POSTINGS} SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM postings GROUP BY term")(lambda s, d: text_index(s, d).frequencies())
 register("ft_index_stats", f"WITH {POSTINGS} SELECT count(DISTINCT term) AS terms, count(*) AS entries, count(DISTINCT id) AS documents FROM postings")(lambda s, d: text_index(s, d).statistics())
-register("ft_index_search", f"WITH {POSTINGS} SELECT DISTINCT id FROM postings WHERE term = 'this'  OR term = 'not'")(lambda s, d: text_index(s, d).search_any(["this", "NOT"]))
-register("ft_index_all", f"WITH {POSTINGS} SELECT id FROM postings WHERE term IN ('not', 'and') OR term = 'or' GROUP BY id HAVING count(DISTINCT term) = 2")(lambda s, d: text_index(s, d).search("Not. or"))
-register("ft_index_any", f"WITH {POSTINGS} SELECT DISTINCT id FROM postings WHERE term IN ('or', 'not')")(lambda s, d: text_index(s, d).search_any(["or", "not"]))
-register("ft_index_phrase", f"WITH {POSTINGS} SELECT DISTINCT a.id FROM postings a JOIN postings b ON a.id = b.id AND b.pos = a.pos + 1 WHERE a.term = 'or' AND b.term = 'not'")(lambda s, d: text_index(s, d).search_phrase("or the not"))
-register("ft_index_phrase_repeated", f"WITH {POSTINGS} SELECT DISTINCT a.id FROM postings a JOIN postings b ON a.id = b.id AND b.pos = a.pos + 1 WHERE a.term = 'de' AND b.term = 'de'")(lambda s, d: text_index(s, d).search_phrase("de de"))
-register("ft_index_proximity", f"WITH {POSTINGS} SELECT DISTINCT a.id FROM postings a JOIN postings b ON a.id = b.id WHERE a.term = 'or' AND b.term = 'not' AND abs(a.pos - b.pos) <= 5")(lambda s, d: text_index(s, d).search_near(["or", "not"], 5))
-register("ft_index_prefix", f"WITH {POSTINGS} SELECT DISTINCT id FROM postings WHERE starts_with(term, 'thto')")(lambda s, d: text_index(s, d).search_prefix("thto"))
+register("ft_index_search", f"WITH {POSTINGS} SELECT DISTINCT id FROM postings WHERE term = 'tion'")(lambda s, d: text_index(s, d).search("the TION, of"))
+register("ft_index_all", f"WITH {POSTINGS} SELECT id FROM postings WHERE term IN ('er', 'tion') GROUP BY id HAVING count(DISTINCT term) = 2")(lambda s, d: text_index(s, d).search("Tion. er"))
+register("ft_index_any", f"WITH {POSTINGS} SELECT DISTINCT id FROM postings WHERE term IN ('ing', 'der')")(lambda s, d: text_index(s, d).search_any(["ing", "DER"]))
+register("ft_index_phrase", f"WITH {POSTINGS} SELECT DISTINCT a.id FROM postings a JOIN postings b ON a.id = b.id AND b.pos = a.pos + 1 WHERE a.term = 'thanedble' AND b.term = 'anea'")(lambda s, d: text_index(s, d).search_phrase("thanedble the anea"))
+register("ft_index_phrase_repeated", f"WITH {POSTINGS} SELECT DISTINCT a.id FROM postings a JOIN postings b ON a.id = b.id AND b.pos = a.pos + 1 JOIN postings c ON a.id = c.id AND c.pos = a.pos + 2 WHERE a.term = 'de' AND b.term = 'la' AND c.term = 'de'")(
+    lambda s, d: text_index(s, d).search_phrase("de la de")
+)
+register("ft_index_proximity", f"WITH {POSTINGS} SELECT DISTINCT a.id FROM postings a JOIN postings b ON a.id = b.id JOIN postings c ON a.id = c.id WHERE a.term = 'en' AND b.term = 'er' AND c.term = 're' AND greatest(a.pos, b.pos, c.pos) - least(a.pos, b.pos, c.pos) <= 20")(
+    lambda s, d: text_index(s, d).search_near(["er", "en", "re"], 20)
+)
+register("ft_index_prefix", f"WITH {POSTINGS} SELECT DISTINCT id FROM postings WHERE starts_with(term, 'chzu')")(lambda s, d: text_index(s, d).search_prefix("chzu"))
 
 _RANKED = f"""WITH {POSTINGS},
-q AS (SELECT * FROM (VALUES ('or', 2), ('not', 1), ('que', 1)) AS v(term, times)),
+q AS (SELECT * FROM (VALUES ('tion', 2), ('en', 1), ('der', 1)) AS v(term, times)),
 n AS (SELECT count(DISTINCT id) AS total FROM postings),
-tf AS (SELECT term, id, count(*) AS tf FROM postings WHERE term IN ('or', 'not', 'que') GROUP BY ALL),
+tf AS (SELECT term, id, count(*) AS tf FROM postings WHERE term IN ('tion', 'en', 'der') GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
 SELECT id, round(sum(times * (1 + log2(tf)) * greatest(0, least(100, log2(total / df)))), 6) AS score
 FROM tf JOIN df USING (term) JOIN q USING (term), n GROUP BY id"""
-register("ft_index_ranked", _RANKED)(lambda s, d: text_index(s, d).ranked("or not que or").select("id", F.round("score", 6).alias("score")))
+register("ft_index_ranked", _RANKED)(lambda s, d: text_index(s, d).ranked("tion en der the tion").select("id", F.round("score", 6).alias("score")))
 register("ft_index_exact", r"""WITH p AS (SELECT doc_id AS id, unnest(list_filter(string_split_regex(text, '[\s\p{P}]+'), lambda t: len(t) BETWEEN 1 AND 100)) AS term FROM documents)
 SELECT DISTINCT id FROM p WHERE term = 'The'""")(lambda s, d: text_index(s, d, TextConfig.exact()).search_all(["The"]))
 
