@@ -1,0 +1,45 @@
+"""Registered queries over whole tables."""
+
+import duckdb
+import pytest
+
+from docloom.llm.queries import ORACLES, QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_one_query_per_operator():
+    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 11))
+
+
+def test_sql_of_op10(spark):
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    (name,) = ORACLES
+    df = QUERIES[name](spark, SF)
+    cols = sorted(df.columns)
+    want = c.sql(f"SELECT {', '.join(cols)} FROM ({ORACLES[name]})").fetchall()
+    assert sorted(map(tuple, df.select(*cols).collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_schema(spark, name):
+    """Results have the agreed leading columns and types."""
+    want = {
+        1: "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
+        2: "doc_id bigint, held_out boolean, score double, predicted int",
+        3: "doc_id bigint, fingerprint string, n_near bigint, component_id bigint",
+        4: "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string",
+        5: "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
+        6: "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
+        7: "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
+        8: "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
+        9: "query_id bigint, rank int, vec_id bigint, score double",
+        10: "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
+    }[int(name[2:].split("_")[0])]
+    df = QUERIES[name](spark, SF)
+    have = ", ".join(f"{n} {t}" for n, t in df.dtypes)
+    assert have.startswith(want)
+    table = "embeddings" if name.startswith("op9_") else "documents"
+    rows = spark.read.parquet(f"{SF}/{table}.parquet").count()
+    assert df.count() == rows or name.startswith(("op1_", "op9_"))
