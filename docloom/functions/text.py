@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 #: White space and punctuation separate tokens.
 SEPARATORS = r"[\s\p{P}]+"
-STOP_WORDS = tuple("a an and are as at be by for from has he in is it its of on or that the this to was were will with".split())
+STOP_WORDS = tuple("the a an; or and; with to on of in from for by at as; will were was is has be are; this that its it he".replace(";", "").split())
 
 
 def split_tokens(c: Column) -> Column:
