@@ -10,6 +10,6 @@ def spread(df: DataFrame) -> DataFrame:
     and in only a few splits: a file of one row group is one task, whatever its
     splits say. Large tables have more of either and are left as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores or df.rdd.getNumPartitions() > 4 * cores:
+    if df.rdd.getNumPartitions() > 4 * cores or len(df.inputFiles()) >= cores:
         return df
     return df.repartition(cores)
