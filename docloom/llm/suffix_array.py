@@ -3,7 +3,7 @@
 The textbook construction inserts one symbol of every document a round, right
 to left, and merges it into the collection's Burrows-Wheeler transform: with
 documents of 100,000 bytes that is 100,000 passes over a growing file (README
-has measured figures). Here the collection is first cut into short, aligned
+has the figures). Here the collection is first cut into short, aligned
 "documents": the surroundings of content-defined anchors that occur repeatedly
 (see repeats.py), trimmed to the windows of which the anchor is the least. All
 reads of an anchor are aligned, so the rounds, one symbol of every read each,
@@ -34,8 +34,7 @@ from .repeats import HOT, SLICE, Repeated, anchors, byte_symbols, keyed, with_sp
 
 SPAN = 200
 GRAM = 64
-PAD = 0xFF  # never part of UTF-8
-
+PAD = b"\xff"  # never part of UTF-8
 READ = "h long, k1 long, k2 long, first int, lead int, copies int, bytes binary"
 SPANS = "k1 long, k2 long, s int, e int"
 
@@ -99,7 +98,7 @@ def read_spans(h: list[int], lead: list[int], copies: list[int], raw: list[bytes
     need = np.flatnonzero(size > 1)
     width = w - 1 + span
     if len(need):
-        rows = b"".join(b"\xff" * (w - 1 - keys[i][1]) + keys[i][2] + b"\xff" * (width - (w - 1 - keys[i][1]) - len(keys[i][2])) for i in need.tolist())
+        rows = b"".join(PAD * (w - 1 - keys[i][1]) + keys[i][2] + PAD * (width - (w - 1 - keys[i][1]) - len(keys[i][2])) for i in need.tolist())
         m = np.ascontiguousarray(np.frombuffer(rows, np.uint8).reshape(len(need), width).T)
         found = repeated_windows(group_of[need], m, span)
         for col, i in enumerate(need.tolist()):
