@@ -34,7 +34,7 @@ class Store:
             if schema is None:
                 raise StorageError(f"no store in {root}")
             full = T.StructType([f for f in schema if f.name != VERSION]).add(VERSION, T.LongType())
-            self._commit(0, {"schema": full.json(), "buckets": buckets, "files": {}, "rows": 0, "meta": {}})
+            self._commit(0, {"schema": full.json(), "buckets": buckets, "files": {}, "counts": {}, "rows": 0, "meta": {}})
 
     # manifests ------------------------------------------------------------
 
@@ -95,12 +95,13 @@ class Store:
         out = rows.select(*(F.col(f.name).cast(f.dataType) for f in schema)).withColumn("_bucket", self._bucket(n))
         target = f"{self.root}/data/{part}"
         out.repartition("_bucket").sortWithinPartitions("_bucket", ID).write.option("compression", self.compression).partitionBy("_bucket").parquet(target)
-        got = {x.split("=")[1] for x in self.files.names(target) if x.startswith("_bucket=")}
-        files = {b: p for b, p in m["files"].items() if int(b) not in set(touched)}
-        files |= {b: f"{part}/_bucket={b}" for b in got}
-        fresh = m | {"files": files, "schema": schema.json(), "meta": m["meta"] | (meta or {})}
-        paths = [f"{self.root}/data/{p}" for p in files.values()]
-        fresh["rows"] = self.spark.read.schema(schema).parquet(*paths).count() if paths else 0  # from the files' footers
+        new = self.spark.read.schema(out.schema).parquet(target).groupBy("_bucket").count().collect()  # one row per bucket
+        replaced = set(touched)
+        files = {b: p for b, p in m["files"].items() if int(b) not in replaced}
+        counts = {b: c for b, c in m["counts"].items() if int(b) not in replaced}
+        files |= {str(b): f"{part}/_bucket={b}" for b, _ in new}
+        counts |= {str(b): c for b, c in new}
+        fresh = m | {"files": files, "counts": counts, "rows": sum(counts.values()), "schema": schema.json(), "meta": m["meta"] | (meta or {})}
         return self._commit(base + 1, fresh)
 
     def _touched(self, ids: DataFrame, n: int) -> list[int]:
