@@ -20,7 +20,7 @@ from .common import BROADCAST_BYTES, chunks, sized_join, text_bytes, written
 #: windows are compared by 128-bit digests, which Spark aggregates map-side.
 HOT = 1 << 16
 #: Bytes of text at a time: hashes and minima take some 100 times as much.
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Symbols of one text at a time, for the same reason.
 PART = 1 << 20
 
