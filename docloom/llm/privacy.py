@@ -32,8 +32,9 @@ from .repeats import keyed
 KINDS = ("email", "ip", "card", "phone")
 #: Terms within so many words of a mention are its context.
 NEAR = 6
-SUPPORT = 3
 DISCLOSURE = 0.8
+#: Documents that each term is taken to be in besides those it was seen in.
+SMOOTH = 2.0
 REVEALS = "_docloom_reveals"
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -124,11 +125,11 @@ def hash64(s: str) -> int:
     return int.from_bytes(xxhash.xxh64_digest(s.encode()), "little", signed=True)
 
 
-def disclosing(docs: DataFrame, near: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE, limit: int = BROADCAST_BYTES) -> DataFrame:
+def disclosing(docs: DataFrame, near: DataFrame, disclosure: float = DISCLOSURE, smooth: float = SMOOTH, limit: int = BROADCAST_BYTES) -> DataFrame:
     """(entity, term) above the threshold. ``near``: k1, k2, entity, term,
     context of all mentions; an empty term stands for the mention itself."""
     by = near.groupBy("entity", "term").agg(F.countDistinct("context").alias("together"))
-    pairs = written(by.filter(F.col("together") >= support), "pairs")
+    pairs = written(by, "pairs")
     wanted = written(pairs.filter("term <> ''").select("term").distinct(), "terms")
     small = wanted.count() * 64 <= limit
     chosen = docs.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in wanted.collect()) if small else None)
@@ -141,21 +142,18 @@ def disclosing(docs: DataFrame, near: DataFrame, support: int = SUPPORT, disclos
                 n.update(w if pick is None else w & pick)
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
 
-    if small and not chosen.value:
-        spread = wanted.withColumn("n", F.lit(1).cast("long"))
-    else:
-        spread = docs.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).join(wanted, "term", "left_semi")
+    spread = docs.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).join(wanted, "term", "left_semi")
     own = pairs.filter("term = ''").select("entity", F.col("together").alias("mentions"))
     got = pairs.filter("term <> ''").join(spread, "term").join(own, "entity")
     total = F.lit(float(max(2, docs.count())))
     # a term counts at least as often as it was seen near the entity
     apart = F.greatest(F.col("n"), F.col("together")).cast("double")
-    pmi = F.log2(F.col("together") * total / (apart * F.col("mentions")))
+    pmi = F.log2(F.col("together") * total / ((apart + smooth) * F.col("mentions")))
     content = F.log2(total / F.col("mentions"))
     return got.filter((content > 0) & (pmi >= disclosure * content)).select("entity", "term")
 
 
-def found_spans(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE, limit: int = BROADCAST_BYTES) -> DataFrame:
+def found_spans(docs: DataFrame, disclosure: float = DISCLOSURE, smooth: float = SMOOTH, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``docs`` (as it is) with a last column, the terms to remove."""
     t = keyed(docs)
 
@@ -167,7 +165,7 @@ def found_spans(docs: DataFrame, support: int = SUPPORT, disclosure: float = DIS
             yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()))], names=["k1", "k2", "entity", "term", "context"])
 
     near = written(t.select("k1", "k2", "text").mapInArrow(mention, "k1 long, k2 long, entity long, term string, context long").distinct(), "mentions")
-    open_ = written(disclosing(t, near, support, disclosure, limit), "disclosing")
+    open_ = written(disclosing(t, near, disclosure, smooth, limit), "disclosing")
     own = near.filter("term = ''").select("k1", "k2", "entity").distinct().join(open_, "entity")
     per = written(own.groupBy("k1", "k2").agg(F.collect_set("term").alias("reveals")), "reveals")
     text = F.coalesce("text", F.lit(""))

@@ -73,6 +73,19 @@ def test_terms_that_give_an_entity_away(docs):
     assert V.sanitised(d).columns == d.columns
 
 
+def test_entities_of_one_context_count(docs):
+    """In a corpus large enough, a word seen once reveals the address it stands
+    by, also if that is mentioned once or twice; common words stay."""
+    rows = [(i, f"the {chr(97 + i % 26) * 3} one {fill(i)} text{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}u") for i in range(400)]
+    rows += [(1000, "the zorbo one wrote once@corp.example about the"), (1001, "one quibb saw twice@corp.example one"), (1002, "the quibb met twice@corp.example the")]
+    d = docs(rows)
+    found = {r.doc_id: r.spans for r in V.digest(V.found_spans(d)).collect()}
+    words = {i: [t[int(a) : int(b)] for k, a, b in (s.split(":") for s in found[i].split(",") if s) if k == "term"] for i, t in rows}
+    assert "zorbo" in words[1000] and "quibb" in words[1001] and "quibb" in words[1002]
+    assert not {"the", "one"} & {w for found in words.values() for w in found}
+    assert found == {r.doc_id: r.spans for r in V.digest(V.found_spans(d, limit=0)).collect()}
+
+
 def test_null_stays_null(docs):
     assert {r.doc_id: r.text for r in V.sanitised(docs([(1, None), (2, ""), (3, "a@b.cd")])).collect()} == {1: None, 2: "", 3: "[EMAIL]"}
     assert V.digest(V.found_spans(docs([]))).count() == 0
