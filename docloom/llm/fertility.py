@@ -6,7 +6,10 @@ vocabulary resorts to where it has no piece), and the entropy of the tokens as
 a share of what a text of that length could have. Texts outside a band of their
 language are rejected; texts without a language form bands by script. Bands
 come from quartiles over all texts that pass the base rules:
-[q1 - REACH * iqr, q3 + REACH * iqr], as wide at least as FLOOR says.
+[q1 - REACH * iqr, q3 + REACH * iqr], as wide at least as FLOOR says. Entropy,
+a share that varies much with length, has a smaller reach, and its limits go at
+most half the way from a quartile to 0, and nine tenths of it to 1 (short texts
+come near), so both always lie inside of what is possible.
 
 Defined results: null and empty texts have no words, fail the base rule and are
 not kept; repeated rows are judged alike; languages with fewer than LEAST texts
@@ -16,6 +19,8 @@ empty result.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +33,8 @@ from .repeats import SPACE, byte_symbols, gram_hashes, range_hashes, words_of
 
 VOCABULARIES = ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken")
 MEASURES = ("chars_per_token", "chars_per_token_multi", "fallback_share", "token_entropy")
-REACH = 6.0
+#: Interquartile ranges beyond the quartiles, by measure.
+REACH = (6.0, 6.0, 6.0, 2.0)
 #: No band is narrower than its median plus and minus this.
 FLOOR = (0.2, 0.2, 0.1, 0.2)
 LEAST = 50
@@ -154,21 +160,24 @@ def base_failed():
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def bands(found: DataFrame, reach: float = REACH, least: int = LEAST) -> DataFrame:
+def bands(found: DataFrame, reach: Sequence[float] = REACH, least: int = LEAST) -> DataFrame:
     """Low and high limits of each measure by band group, and for all ('*')."""
     good = found.filter(~base_failed())
     q = lambda c: F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000).alias(c)
     parts = [good.groupBy("band"), good.withColumn("band", F.lit("*")).groupBy("band")]
     some = parts[0].agg(F.count("*").alias("n"), *map(q, MEASURES)).unionByName(parts[1].agg(F.count("*").alias("n"), *map(q, MEASURES)))
     limits = []
-    for c, floor in zip(MEASURES, FLOOR):
+    for c, far, floor in zip(MEASURES, reach, FLOOR):
         q1, mid, q3 = (F.col(c)[i] for i in range(3))
-        wide = reach * (q3 - q1)
-        limits += [F.least(q1 - wide, mid - floor).alias(f"{c}_low"), F.greatest(q3 + wide, mid + floor).alias(f"{c}_high")]
+        wide = far * (q3 - q1)
+        low, high = F.least(q1 - wide, mid - floor), F.greatest(q3 + wide, mid + floor)
+        if c == "token_entropy":
+            low, high = F.greatest(low, q1 / 2), F.least(high, (9 + q3) / 10)
+        limits += [low.alias(f"{c}_low"), high.alias(f"{c}_high")]
     return some.filter((F.col("n") >= least) | (F.col("band") == "*")).select("band", *limits)
 
 
-def judged(docs: DataFrame, reach: float = REACH, least: int = LEAST, paths: tuple[str, ...] | None = None) -> DataFrame:
+def judged(docs: DataFrame, reach: Sequence[float] = REACH, least: int = LEAST, paths: tuple[str, ...] | None = None) -> DataFrame:
     """Base columns, base_failed, kept, and the measures, of every document."""
     found = written(measured(docs, paths), "measures")
     limits = written(bands(found, reach, least), "bands")

@@ -63,6 +63,29 @@ def test_bands_reject_what_the_language_never_does(spark, docs):
     assert all(r.kept for i, r in got.items() if not 1000 <= i <= 1001 and not r.base_failed)
 
 
+WORDS = "time people water house light under never world three small about after again could every first found great large might other place right still their think where which write years being below earth given group heard human known later leave local means money month music night order paper party peace point power press price quite river round short since south sound".split()
+
+
+def de_bruijn(words):
+    """Every three of ``words`` once: none repeats, though there are few."""
+    seen, out = set(), [words[0]] * 2
+    while True:
+        new = next((w for w in reversed(words) if (*out[-2:], w) not in seen), None)
+        if new is None:
+            return " ".join(out)
+        seen.add((*out[-2:], new))
+        out.append(new)
+
+
+def test_low_entropy_is_rejected(docs):
+    """Also among texts of many lengths, where the entropies spread."""
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(rng.choice(WORDS, n)), "en", "s") for i, n in enumerate(np.geomspace(60, 600, 150).astype(int).tolist())]
+    got = {r.doc_id: r for r in T.judged(docs([*rows, (1000, de_bruijn(WORDS[:4]), "en", "s")])).collect()}
+    assert not got[1000].base_failed and not got[1000].kept
+    assert all(r.kept for i, r in got.items() if i < 1000)
+
+
 def test_script_and_empty(docs):
     assert (T.script("abc"), T.script("日本語の"), T.script("12")) == ("script 0", "script 48", "script none") or T.script("日本語の").startswith("script ")
     assert T.judged(docs([])).count() == 0
