@@ -4,7 +4,8 @@ Two public vocabularies measure every whole text: characters per token, the
 share of byte-fallback tokens (tokens that aren't whole characters, which a
 vocabulary resorts to where it has no piece), and the entropy of the tokens as
 a share of what a text of that length could have. Texts outside a band of their
-language are rejected; texts without a language form bands by script. Bands
+language are rejected; those without a language, outside that of their script.
+The fewer texts a language has, the more its band is drawn to its script. Bands
 come from quartiles over all texts that pass the base rules:
 [q1 - REACH * iqr, q3 + REACH * iqr], as wide at least as FLOOR says. Entropy,
 a share that varies much with length, has a smaller reach, and its limits go at
@@ -12,13 +13,13 @@ most half the way from a quartile to 0, and nine tenths of it to 1 (short texts
 come near), so both always lie inside of what is possible.
 
 Defined results: null and empty texts have no words, fail the base rule and are
-not kept; repeated rows are judged alike; languages with fewer than LEAST texts
-use the bands of all texts; extra columns are ignored; an empty table gives an
-empty result.
+not kept; repeated rows are judged alike; extra columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 import numpy as np
@@ -37,6 +38,7 @@ MEASURES = ("chars_per_token", "chars_per_token_multi", "fallback_share", "token
 REACH = (6.0, 6.0, 6.0, 2.0)
 #: No band is narrower than its median plus and minus this.
 FLOOR = (0.2, 0.2, 0.1, 0.2)
+#: The weight of the script, in texts, in the spread of its languages' measures.
 LEAST = 50
 MIN_WORDS = 50
 WINDOW = 3
@@ -127,18 +129,22 @@ def token_measures(texts: list[str], paths: tuple[str, ...]) -> np.ndarray:
     return out
 
 
+@functools.cache
+def _letters() -> np.ndarray:
+    """By code point whether it is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+
+
 def script(text: str) -> str:
     """Of the first letter of the most frequent Unicode block among the letters."""
-    blocks: dict[int, int] = {}
-    for c in text:
-        if c.isalpha():
-            b = 0 if ord(c) < 0x250 else ord(c) >> 8
-            blocks[b] = blocks.get(b, 0) + 1
-    return f"script {max(sorted(blocks), key=blocks.get)}" if blocks else "script none"
+    c = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    c = c[_letters()[c]]
+    return f"script {np.bincount(np.where(c < 0x250, 0, c >> 8)).argmax()}" if len(c) else "script none"
 
 
 def measured(docs: DataFrame, paths: tuple[str, ...] | None = None) -> DataFrame:
-    """doc_id, band group, base statistics and measures; a map over the text."""
+    """doc_id, language, script, base statistics and measures; a map over the
+    text."""
     paths = paths or tuple(map(vocabulary, VOCABULARIES))
     ints = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -148,11 +154,10 @@ def measured(docs: DataFrame, paths: tuple[str, ...] | None = None) -> DataFrame
             raw, o = data.tobytes(), off.tolist()
             texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(o, o[1:])]
             found = token_measures(texts, paths)
-            groups = [g if g is not None else script(t) for g, t in zip(part.column(1).to_pylist(), texts)]
-            cols = [part.column(0), pa.array(groups, pa.string()), *(pa.array(base[c].astype(np.int64)) for c in ints), *(pa.array(found[:, k], from_pandas=True) for k in range(len(MEASURES)))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "band", *ints, *MEASURES])
+            cols = [part.column(0), part.column(1), pa.array(map(script, texts), pa.string()), *(pa.array(base[c].astype(np.int64)) for c in ints), *(pa.array(found[:, k], from_pandas=True) for k in range(len(MEASURES)))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang", "script", *ints, *MEASURES])
 
-    schema = "doc_id long, band string, " + ", ".join(f"{c} long" for c in ints) + ", " + ", ".join(f"{c} double" for c in MEASURES)
+    schema = "doc_id long, lang string, script string, " + ", ".join(f"{c} long" for c in ints) + ", " + ", ".join(f"{c} double" for c in MEASURES)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text_bytes().alias("text")).mapInArrow(run, schema)
 
 
@@ -160,31 +165,54 @@ def base_failed():
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
+def band_key():
+    """The language's band, or the script's if there is no language."""
+    return F.coalesce(F.concat(F.lit("lang "), F.col("lang")), F.col("script"))
+
+
 def bands(found: DataFrame, reach: Sequence[float] = REACH, least: int = LEAST) -> DataFrame:
-    """Low and high limits of each measure by band group, and for all ('*')."""
+    """Low and high limits of each measure by band.
+
+    A script's are those of its texts' quartiles. A language of n texts is
+    shrunk towards the script of most of them: its median as if the script's
+    were one text more, the distances of its quartiles from it as if ``least``
+    texts more had the mean distances of that script's languages; and it is
+    wider by 1/(n + 1) of the script's interquartile range."""
     good = found.filter(~base_failed())
     q = lambda c: F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000).alias(c)
-    parts = [good.groupBy("band"), good.withColumn("band", F.lit("*")).groupBy("band")]
-    some = parts[0].agg(F.count("*").alias("n"), *map(q, MEASURES)).unionByName(parts[1].agg(F.count("*").alias("n"), *map(q, MEASURES)))
+    scripts = good.groupBy("script").agg(*map(q, MEASURES))
+    named = good.filter("lang is not null")
+    most = named.groupBy("lang", "script").count().groupBy("lang").agg(F.min_by("script", F.struct(-F.col("count"), F.col("script"))).alias("script"))
+    langs = written(named.groupBy("lang").agg(F.count("*").alias("n"), *map(q, MEASURES)).join(most, "lang"), "langs")
+    mean = lambda d: F.sum(F.col("n") * d) / F.sum("n")
+    apart = [mean(F.col(c)[k + 1] - F.col(c)[k]).alias(f"{c}_d{k}") for c in MEASURES for k in (0, 1)]
+    usual = langs.groupBy("script").agg(*apart)
+    all_ = scripts.select("script", *(F.col(c).alias(f"{c}_all") for c in MEASURES))
+    own, wide = [], []
+    for c in MEASURES:
+        n, v, s = F.col("n"), F.col(c), F.col(f"{c}_all")
+        down, up = ((n * (v[k + 1] - v[k]) + least * F.col(f"{c}_d{k}")) / (n + least) for k in (0, 1))
+        mid = (n * v[1] + s[1]) / (n + 1)
+        own.append(F.array(mid - down, mid, mid + up).alias(c))
+        wide.append((down + up + (s[2] - s[0]) / (n + 1)).alias(f"{c}_iqr"))
+    shrunk = langs.join(usual, "script").join(all_, "script").select(F.concat(F.lit("lang "), F.col("lang")).alias("band"), *own, *wide)
+    some = scripts.select(F.col("script").alias("band"), *MEASURES, *((F.col(c)[2] - F.col(c)[0]).alias(f"{c}_iqr") for c in MEASURES)).unionByName(shrunk)
     limits = []
     for c, far, floor in zip(MEASURES, reach, FLOOR):
         q1, mid, q3 = (F.col(c)[i] for i in range(3))
-        wide = far * (q3 - q1)
-        low, high = F.least(q1 - wide, mid - floor), F.greatest(q3 + wide, mid + floor)
+        beyond = far * F.col(f"{c}_iqr")
+        low, high = F.least(q1 - beyond, mid - floor), F.greatest(q3 + beyond, mid + floor)
         if c == "token_entropy":
             low, high = F.greatest(low, q1 / 2), F.least(high, (9 + q3) / 10)
         limits += [low.alias(f"{c}_low"), high.alias(f"{c}_high")]
-    return some.filter((F.col("n") >= least) | (F.col("band") == "*")).select("band", *limits)
+    return some.select("band", *limits)
 
 
 def judged(docs: DataFrame, reach: Sequence[float] = REACH, least: int = LEAST, paths: tuple[str, ...] | None = None) -> DataFrame:
     """Base columns, base_failed, kept, and the measures, of every document."""
     found = written(measured(docs, paths), "measures")
     limits = written(bands(found, reach, least), "bands")
-    own = limits.filter("band <> '*'")
-    known = own.select("band", F.col("band").alias("use"))
-    placed = sized_join(found, written(known, "known"), "band", "left", 32).withColumn("use", F.coalesce("use", F.lit("*")))
-    wide = sized_join(placed, limits.withColumnRenamed("band", "use"), "use", "left", 256)
+    wide = sized_join(found.withColumn("band", band_key()), limits, "band", "left", 256)
     inside = None
     for c in MEASURES:
         ok = F.coalesce(F.col(c).between(F.col(f"{c}_low"), F.col(f"{c}_high")), F.lit(False))

@@ -86,6 +86,21 @@ def test_low_entropy_is_rejected(docs):
     assert all(r.kept for i, r in got.items() if i < 1000)
 
 
+def test_small_languages_have_bands_of_their_own(docs):
+    """Junk in a language of 20 texts is rejected as it would be in one of 50,
+    and a rare script isn't judged by another one."""
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(rng.choice(WORDS, 80)), "en", "s") for i in range(120)]
+    other = [w[::-1].replace("e", "ü") for w in WORDS]
+    junk = " ".join("".join(rng.choice(list("qxzjkvw0123#"), 8)) for _ in range(80))
+    for n in (20, 49, 50):
+        small = [(1000 + i, " ".join(rng.choice(other, 80)), "xx", "s") for i in range(n)]
+        korean = [(2000, " ".join(chr(0xAC00 + int(x)) * 2 + chr(0xAC00 + i) for i, x in enumerate(rng.integers(0, 9000, 80))), "ko", "s")]
+        got = {r.doc_id: r for r in T.judged(docs([*rows, *small, *korean, (3000, junk, "xx", "s")])).collect()}
+        assert not got[3000].base_failed and not got[3000].kept, n
+        assert got[2000].fallback_share > 0.5 and all(r.kept for i, r in got.items() if i < 3000), n
+
+
 def test_script_and_empty(docs):
     assert (T.script("abc"), T.script("日本語の"), T.script("12")) == ("script 0", "script 48", "script none") or T.script("日本語の").startswith("script ")
     assert T.judged(docs([])).count() == 0
