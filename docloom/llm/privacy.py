@@ -101,9 +101,9 @@ def terms(t: str, spans: list[list[tuple[int, int]]]) -> list[tuple[int, int, st
     return out
 
 
-def mentions(t: str) -> list[tuple[int, str, int]]:
-    """(entity, term, context) for the terms near each mention; entities and
-    contexts as 64-bit hashes."""
+def mentions(t: str) -> list[tuple[int, str]]:
+    """(entity, term) for the terms near each mention, and an empty term for
+    the mention itself; entities as 64-bit hashes."""
     spans = base_spans(t)
     if not any(spans):
         return []
@@ -115,9 +115,8 @@ def mentions(t: str) -> list[tuple[int, str, int]]:
             entity = hash64(f"{kind}:{normal(kind, t[a:b])}")
             at = bisect.bisect_left(starts, a)
             near = words[max(0, at - NEAR) : at + NEAR]
-            context = hash64(" ".join(w for *_, w in near))
-            out.append((entity, "", context))
-            out += [(entity, w, context) for w in {w for *_, w in near}]
+            out.append((entity, ""))
+            out += [(entity, w) for w in {w for *_, w in near}]
     return out
 
 
@@ -126,26 +125,31 @@ def hash64(s: str) -> int:
 
 
 def disclosing(docs: DataFrame, near: DataFrame, disclosure: float = DISCLOSURE, smooth: float = SMOOTH, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """(entity, term) above the threshold. ``near``: k1, k2, entity, term,
-    context of all mentions; an empty term stands for the mention itself."""
-    by = near.groupBy("entity", "term").agg(F.countDistinct("context").alias("together"))
-    pairs = written(by, "pairs")
+    """(entity, term) above the threshold. ``docs``: text, k1, k2. ``near``:
+    k1, k2, entity, term of all mentions; an empty term stands for the mention
+    itself."""
+    pairs = written(near.groupBy("entity", "term").agg(F.count("*").alias("together")), "pairs")
     wanted = written(pairs.filter("term <> ''").select("term").distinct(), "terms")
     small = wanted.count() * 64 <= limit
     chosen = docs.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in wanted.collect()) if small else None)
+    copies = written(docs.groupBy("k1", "k2").agg(F.count("*").alias("copies")), "copies")
+    repeated = written(copies.filter("copies > 1"), "repeated")
 
     def count(batches):
-        for _, raw in texts(batches):
+        for part, raw in texts(batches):
             pick, n = chosen.value, Counter()
-            for t in raw:
-                w = set(_TERM.findall(t.decode("utf-8", "replace").lower()))
-                n.update(w if pick is None else w & pick)
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
-
-    spread = docs.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).join(wanted, "term", "left_semi")
+            for t, c in zip(raw, part.column(1).to_pylist()):
+                w = {x.lower() for x in set(_TERM.findall(t.decode("utf-8", "replace")))}
+                for x in w if pick is None else w & pick:
+                    n[x] += 1 / c
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.float64())], names=["term", "n"])
+
+    # each of c copies counts 1/c, which rounding the sum makes whole again, so texts needn't be shuffled
+    weighed = sized_join(docs, repeated, ["k1", "k2"], "left", 48).select("text", F.coalesce("copies", F.lit(1)).alias("copies"))
+    spread = weighed.mapInArrow(count, "term string, n double").groupBy("term").agg(F.round(F.sum("n")).alias("n")).join(wanted, "term", "left_semi")
     own = pairs.filter("term = ''").select("entity", F.col("together").alias("mentions"))
     got = pairs.filter("term <> ''").join(spread, "term").join(own, "entity")
-    total = F.lit(float(max(2, docs.count())))
+    total = F.lit(float(max(2, copies.count())))
     # a term counts at least as often as it was seen near the entity
     apart = F.greatest(F.col("n"), F.col("together")).cast("double")
     pmi = F.log2(F.col("together") * total / ((apart + smooth) * F.col("mentions")))
@@ -161,10 +165,10 @@ def found_spans(docs: DataFrame, disclosure: float = DISCLOSURE, smooth: float =
         for part, raw in texts(batches):
             k1, k2 = part.column(0).to_pylist(), part.column(1).to_pylist()
             rows = [(a, b, *m) for a, b, t in zip(k1, k2, raw) for m in mentions(t.decode("utf-8", "replace"))]
-            cols = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()))], names=["k1", "k2", "entity", "term", "context"])
+            cols = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["k1", "k2", "entity", "term"])
 
-    near = written(t.select("k1", "k2", "text").mapInArrow(mention, "k1 long, k2 long, entity long, term string, context long").distinct(), "mentions")
+    near = written(t.select("k1", "k2", "text").mapInArrow(mention, "k1 long, k2 long, entity long, term string").distinct(), "mentions")
     open_ = written(disclosing(t, near, disclosure, smooth, limit), "disclosing")
     own = near.filter("term = ''").select("k1", "k2", "entity").distinct().join(open_, "entity")
     per = written(own.groupBy("k1", "k2").agg(F.collect_set("term").alias("reveals")), "reveals")

@@ -86,6 +86,18 @@ def test_entities_of_one_context_count(docs):
     assert found == {r.doc_id: r.spans for r in V.digest(V.found_spans(d, limit=0)).collect()}
 
 
+def test_copies_change_nothing(docs):
+    """Terms that go from a corpus go as well if one of its texts is copied."""
+    rows = [(i, f"the {chr(97 + i % 26) * 3} one {fill(i)} text{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}u") for i in range(400)]
+    own = [(1000 + i, f"one {fill(i)} the zorbo wrote boss@corp.example about {fill(i + 9)}") for i in range(3)]
+    want = {r.doc_id: r.spans for r in V.digest(V.found_spans(docs(rows + own))).collect()}
+    assert "term" in want[1000]
+    d = docs(rows + own + [(2000 + i, own[0][1]) for i in range(100)])
+    for how in ({}, {"limit": 0}):
+        got = {r.doc_id: r.spans for r in V.digest(V.found_spans(d, **how)).collect()}
+        assert all(got[i] == want[1000 if i >= 2000 else i] for i in got)
+
+
 def test_null_stays_null(docs):
     assert {r.doc_id: r.text for r in V.sanitised(docs([(1, None), (2, ""), (3, "a@b.cd")])).collect()} == {1: None, 2: "", 3: "[EMAIL]"}
     assert V.digest(V.found_spans(docs([]))).count() == 0
