@@ -77,6 +77,11 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, seed: int = S
             taken[i] += x
             left -= x * int(sizes[i])
     if left > DP_WORDS:
+        # only documents of more than ``left`` words remain: one of the shortest, or none
+        some = np.flatnonzero(taken < counts)
+        i = some[np.argmin(sizes[some])]
+        if sizes[i] - left < left:
+            taken[i] += 1
         return taken
     fits = [i for i in np.argsort(sizes, kind="stable").tolist() if sizes[i] <= 2 * left and taken[i] < counts[i]]
     fits = fits if len(fits) <= DP_SIZES else sorted(fits[:: -(-len(fits) // DP_SIZES)] + fits[:16])

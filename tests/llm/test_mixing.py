@@ -21,6 +21,12 @@ def test_budget(hist, share):
     assert abs(int((size * got).sum()) - budget) <= best + size.max()
 
 
+def test_large_documents_overshoot_if_that_is_nearer():
+    fit = lambda sizes, counts, budget: X.fit_budget(np.array(sizes), np.array(counts), budget).tolist()
+    assert fit([200_000], [1], 180_000) == [1] and fit([200_000], [1], 90_000) == [0]
+    assert fit([300_000, 200_000], [1, 1], 150_000) == [0, 1]
+
+
 def waterfill(sizes, weights, total):
     target, open_ = {}, set(sizes)
     while open_:
