@@ -10,7 +10,8 @@ blocks) and looked up in the plan. The text is read once and never shuffled.
 Defined results: a null text counts as empty (one piece, the end id alone); a
 text of any length is cut only if it has more than ``capacity`` ids; repeated
 rows are packed each for itself; an empty table gives an empty result; further
-columns are ignored; a null ``doc_id`` is kept.
+columns are ignored; a null ``doc_id`` is kept; the literal ``<|endoftext|>`` in
+a text is that token, as in the vocabulary's tokenizer file.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from .common import documents, rank_within, text_bytes, texts, written
 
 CAPACITY = 2048
 END_ID = 0
+SPECIAL = "<|endoftext|>"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
@@ -43,24 +45,27 @@ def vocabulary(name: str) -> str:
 _encoders: dict = {}
 
 
-def encoder(path: str):
+def encoder(path: str, special: bool = False):
     """``encode(text) -> list of ids`` for a rank file (.tiktoken) or a
-    tokenizer file (.json); strings of special tokens are ordinary text."""
-    if path not in _encoders:
+    tokenizer file (.json); strings of special tokens are ordinary text, or with
+    ``special`` those tokens (in a rank file, ``SPECIAL`` follows the ranks)."""
+    key = path, special
+    if key not in _encoders:
         if path.endswith(".json"):
             from tokenizers import Tokenizer
 
             t = Tokenizer.from_file(path)
-            t.encode_special_tokens = True
-            _encoders[path] = lambda s: t.encode(s, add_special_tokens=False).ids
+            t.encode_special_tokens = not special
+            _encoders[key] = lambda s: t.encode(s, add_special_tokens=False).ids
         else:
             import public_tokenizers
             import tiktoken
 
             with open(path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            _encoders[path] = tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    return _encoders[path]
+            e = tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: max(ranks.values()) + 1} if special else {})
+            _encoders[key] = (lambda s: e.encode(s, allowed_special="all") if SPECIAL in s else e.encode_ordinary(s)) if special else e.encode_ordinary
+    return _encoders[key]
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -73,7 +78,7 @@ def token_pieces(docs: DataFrame, vocab: str, capacity: int = CAPACITY, end_id:
     """One row per piece, with a checksum of its ids; a map over the text."""
 
     def run(batches):
-        encode = encoder(vocab)
+        encode = encoder(vocab, special=True)
         for part, raw in texts(batches):
             ids_of = part.column(0).to_pylist()
             rows: list[list] = [[], [], [], [], []]

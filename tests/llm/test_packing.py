@@ -65,6 +65,18 @@ def test_documents(docs, awkward):
     assert got.sequence_id.nunique() <= -(-got.length.sum() // 2048) + 1
 
 
+def test_special_literal_is_its_token(docs):
+    """Against the tokenizer file as it is."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(K.vocabulary("byte_bpe_50k.json"))
+    rows = list(enumerate(["x<|endoftext|>y", "<|endoftext|>", "a <|endoftext|>  <|endoftext|>\n b<|endoftext|", "x y"]))
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in K.pack(docs(rows)).collect()}
+    for i, t in rows:
+        ids = [*plain.encode(t, add_special_tokens=False).ids, 0]
+        assert got[i] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
 def test_empty(docs):
     assert K.pack(docs([])).count() == 0
 
