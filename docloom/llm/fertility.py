@@ -1,9 +1,10 @@
 """Quality rules on tokeniser fertility.
 
-Two public vocabularies measure every whole text: characters per token, the
-share of byte-fallback tokens (tokens that aren't whole characters, which a
-vocabulary resorts to where it has no piece), and the entropy of the tokens as
-a share of what a text of that length could have. Texts outside a band of their
+Two public vocabularies measure every whole text by characters per token. By
+the first one only, also the share of byte-fallback tokens (tokens that aren't
+whole characters, which a vocabulary resorts to where it has no piece) is
+measured, and the entropy of the tokens as a share of what a text of that length
+could have. Texts outside a band of their
 language are rejected; those without a language, outside that of their script.
 The fewer texts a language has, the more its band is drawn to its script. Bands
 come from quartiles over all texts that pass the base rules:
