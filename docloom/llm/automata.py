@@ -26,8 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, chunks, documents, texts, written
-from .repeats import HOT, SLICE, Repeated, anchors, byte_symbols, keyed, range_hashes, with_spans, words_of
+from .common import BROADCAST_BYTES, chunks, documents, keyed, texts, written
+from .repeats import HOT, SLICE, Repeated, anchors, byte_symbols, range_hashes, with_spans, words_of
 from .suffix_array import hot_anchors
 
 WINDOW = 13

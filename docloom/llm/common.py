@@ -8,11 +8,13 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.spread import spread
 
@@ -69,6 +71,16 @@ def release(spark: SparkSession) -> int:
     return n
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null: empty) and a 128-bit digest of the text, k1 and k2."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"), *digests())
+
+
+def digests(names: Sequence[str] = ("k1", "k2")) -> list[Column]:
+    """A 128-bit digest of the text (null: that of the empty text)."""
+    return [F.xxhash64(text_bytes()).alias(names[0]), F.xxhash64(text_bytes(), F.lit("second")).alias(names[1])]
+
+
 def text_bytes(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
@@ -103,28 +115,67 @@ def texts(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CH
         yield part, [raw[x:y] for x, y in zip(o, o[1:])]
 
 
-def fits_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether a table of rows of about ``row_bytes`` is below the limit, by
-    its count; for tables that are written already, so the count is cheap."""
-    return df.count() * row_bytes <= limit
+class appended:
+    """A table in the shared folder that grows by whole DataFrames."""
+
+    def __init__(self, spark: SparkSession, name: str, schema: str):
+        self.spark, self.schema = spark, schema
+        self.path = f"{workdir(spark)}/{name}-{uuid.uuid4().hex}"
+        _made.append(self.path)
+        self._any = False
+
+    def add(self, df: DataFrame) -> None:
+        df.write.mode("append").option("compression", "zstd").parquet(self.path)
+        self._any = True
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path) if self._any else self.spark.createDataFrame([], self.schema)
 
 
-def sized_join(left: DataFrame, right: DataFrame, on, how: str, row_bytes: int) -> DataFrame:
+def column_bytes(c: Column, kind: T.DataType) -> Column:
+    """About how much memory a value takes."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        inner = kind.elementType
+        if isinstance(inner, (T.StringType, T.BinaryType)):
+            each = F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + F.coalesce(F.octet_length(x), F.lit(0)) + 16)
+        else:
+            each = F.size(c) * 8
+        return F.coalesce(each, F.lit(0)) + 24
+    return F.lit(8)
+
+
+def table_bytes(df: DataFrame) -> int:
+    """The measured size of ``df``, from the lengths of all its values; for
+    tables that are written already, so that measuring is cheap."""
+    per_row = reduce(lambda a, b: a + b, [column_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema])
+    return df.agg(F.coalesce(F.sum((per_row + 16).cast("long")), F.lit(0))).first()[0]
+
+
+def sized_join(left: DataFrame, right: DataFrame, on, how: str, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Broadcasts ``right`` only if its measured size is small, else shuffles
     both (AQE splits skewed keys)."""
-    return left.join(F.broadcast(right) if fits_broadcast(right, row_bytes) else right, on, how)
+    return left.join(F.broadcast(right) if table_bytes(right) <= limit else right, on, how)
 
 
-def rank_within(df: DataFrame, keys: Sequence[str], ids: Sequence[str], seed: int = 0, total: str | None = None, per_key: DataFrame | None = None, bits: int = 12) -> DataFrame:
+def rank_within(df: DataFrame, keys: Sequence[str], ids: Sequence[str], seed: int = 0, total: str | None = None, per_key: DataFrame | None = None, bits: int = 12, salt: str | None = None) -> DataFrame:
     """``df`` with ``rank``: gapless from 0 within each of ``keys``, in a
     seeded random order; with ``total``, ``before``: that column's sum over
     smaller ranks. ``keys`` must not be null; ``df`` must be written already,
     as it is read twice. ``per_key``: columns by key to add on the way.
 
     No key's rows meet in one task: they are counted in 2**bits hashed blocks,
-    the blocks are summed up, and only a block is ever sorted."""
+    the blocks are summed up, and only a block is ever sorted. Rows whose first
+    id is null come last; any number of them may be alike, so they are spread
+    by ``salt``, a number written with the row."""
     keys, ids = list(keys), list(ids)
-    d = df.withColumn("_h", F.xxhash64(*ids, F.lit(seed))).withColumn("_b", F.shiftrightunsigned("_h", 64 - bits).cast("int"))
+    h, b = F.xxhash64(*ids, F.lit(seed)), F.shiftrightunsigned("_h", 64 - bits)
+    if salt:
+        nameless = F.col(ids[0]).isNull()
+        h = F.when(nameless, F.xxhash64(salt, F.lit(seed))).otherwise(h)
+        b = b + F.when(nameless, 1 << bits).otherwise(0)
+    d = df.withColumn("_h", h).withColumn("_b", b.cast("int"))
     by = [*keys, "_b"]
     aggs = [F.count("*").alias("_n")] + ([F.sum(total).alias("_t")] if total else [])
     earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -138,8 +189,3 @@ def rank_within(df: DataFrame, keys: Sequence[str], ids: Sequence[str], seed: in
     if total:
         out = out.withColumn("before", F.coalesce(F.sum(total).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("_t0"))
     return out.drop("_h", "_b", "_r0", "_t0")
-
-
-def collect_arrow(df: DataFrame) -> pa.Table:
-    """For tables of proven small size only."""
-    return df.toArrow()

@@ -213,7 +213,7 @@ def judged(docs: DataFrame, reach: Sequence[float] = REACH, least: int = LEAST,
     """Base columns, base_failed, kept, and the measures, of every document."""
     found = written(measured(docs, paths), "measures")
     limits = written(bands(found, reach, least), "bands")
-    wide = sized_join(found.withColumn("band", band_key()), limits, "band", "left", 256)
+    wide = sized_join(found.withColumn("band", band_key()), limits, "band", "left")
     inside = None
     for c in MEASURES:
         ok = F.coalesce(F.col(c).between(F.col(f"{c}_low"), F.col(f"{c}_high")), F.lit(False))

@@ -139,7 +139,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     times = F.round(F.sum("taken") / F.nullif(F.sum("size"), F.lit(0))).cast("int")
     picks = written(mix(docs, **how).groupBy("doc_id").agg(times.alias("_docloom_times")).filter("_docloom_times > 0"), "picks")
     renamed = picks.withColumnRenamed("doc_id", "_docloom_id")
-    both = sized_join(docs, renamed, F.col("doc_id").eqNullSafe(F.col("_docloom_id")), "inner", 16)
+    both = sized_join(docs, renamed, F.col("doc_id").eqNullSafe(F.col("_docloom_id")), "inner")
     return both.withColumn("_docloom_copy", F.explode(F.sequence(F.lit(1), F.col("_docloom_times")))).select(*docs.columns)
 
 

@@ -26,8 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, documents, sized_join, texts, written
-from .repeats import keyed
+from .common import BROADCAST_BYTES, digests, documents, keyed, sized_join, table_bytes, texts, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Terms within so many words of a mention are its context.
@@ -130,7 +129,7 @@ def disclosing(docs: DataFrame, near: DataFrame, disclosure: float = DISCLOSURE,
     itself."""
     pairs = written(near.groupBy("entity", "term").agg(F.count("*").alias("together")), "pairs")
     wanted = written(pairs.filter("term <> ''").select("term").distinct(), "terms")
-    small = wanted.count() * 64 <= limit
+    small = table_bytes(wanted) <= limit
     chosen = docs.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in wanted.collect()) if small else None)
     copies = written(docs.groupBy("k1", "k2").agg(F.count("*").alias("copies")), "copies")
     repeated = written(copies.filter("copies > 1"), "repeated")
@@ -145,7 +144,7 @@ def disclosing(docs: DataFrame, near: DataFrame, disclosure: float = DISCLOSURE,
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.float64())], names=["term", "n"])
 
     # each of c copies counts 1/c, which rounding the sum makes whole again, so texts needn't be shuffled
-    weighed = sized_join(docs, repeated, ["k1", "k2"], "left", 48).select("text", F.coalesce("copies", F.lit(1)).alias("copies"))
+    weighed = sized_join(docs, repeated, ["k1", "k2"], "left").select("text", F.coalesce("copies", F.lit(1)).alias("copies"))
     spread = weighed.mapInArrow(count, "term string, n double").groupBy("term").agg(F.round(F.sum("n")).alias("n")).join(wanted, "term", "left_semi")
     own = pairs.filter("term = ''").select("entity", F.col("together").alias("mentions"))
     got = pairs.filter("term <> ''").join(spread, "term").join(own, "entity")
@@ -172,10 +171,9 @@ def found_spans(docs: DataFrame, disclosure: float = DISCLOSURE, smooth: float =
     open_ = written(disclosing(t, near, disclosure, smooth, limit), "disclosing")
     own = near.filter("term = ''").select("k1", "k2", "entity").distinct().join(open_, "entity")
     per = written(own.groupBy("k1", "k2").agg(F.collect_set("term").alias("reveals")), "reveals")
-    text = F.coalesce("text", F.lit(""))
     per = per.toDF("_docloom_k1", "_docloom_k2", "_docloom_reveals")
-    key = docs.withColumn("_docloom_k1", F.xxhash64(text)).withColumn("_docloom_k2", F.xxhash64(text, F.lit("second")))
-    return sized_join(key, per, ["_docloom_k1", "_docloom_k2"], "left", 128).select(*docs.columns, F.col("_docloom_reveals").alias(REVEALS))
+    key = docs.select("*", *digests(("_docloom_k1", "_docloom_k2")))
+    return sized_join(key, per, ["_docloom_k1", "_docloom_k2"], "left").select(*docs.columns, F.col("_docloom_reveals").alias(REVEALS))
 
 
 def all_spans(t: str, reveals) -> tuple[list[list[tuple[int, int]]], list[tuple[int, int]]]:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, chunks, sized_join, text_bytes, written
+from .common import BROADCAST_BYTES, chunks, sized_join, table_bytes, written
 
 #: An anchor with more occurrences than this isn't gathered in one task: its
 #: windows are compared by 128-bit digests, which Spark aggregates map-side.
@@ -126,12 +126,6 @@ def anchors(symbols: np.ndarray, off: np.ndarray, span: int, k: int) -> tuple[np
     return at, h[at], np.maximum(run[r], at - w + 1), np.minimum(end[r], at)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null: empty) and a 128-bit digest of the text, k1 and k2."""
-    t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    return t.withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64("text", F.lit("second")))
-
-
 def is_in(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     if not len(table):
         return np.zeros(len(values), bool)
@@ -204,4 +198,4 @@ def merged_spans(spans: DataFrame, key: list[str]) -> DataFrame:
 def with_spans(docs: DataFrame, spans: DataFrame, key: list[str]) -> DataFrame:
     """``docs`` with the united spans of each, empty for most."""
     spans = written(merged_spans(spans, key), "spans")
-    return sized_join(docs, spans, key, "left", 64).withColumn("spans", F.coalesce("spans", F.array().cast("array<int>")))
+    return sized_join(docs, spans, key, "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<int>")))

@@ -208,7 +208,7 @@ def near_links(classes: DataFrame, big: int = BIG_SHARD) -> DataFrame:
     spread = F.explode(F.array(*(F.struct(F.lit(b).alias("block"), value[b].cast("int").alias("value")) for b in range(BLOCKS)))).alias("s")
     rows = classes.select("fp", "n", spread).select("fp", "n", "s.block", "s.value")
     sizes = written(rows.groupBy("block", "value").agg(F.count("*").alias("many")).filter(F.col("many") > big), "big")
-    rows = sized_join(rows, sizes, ["block", "value"], "left", 16)
+    rows = sized_join(rows, sizes, ["block", "value"], "left")
     rows = rows.withColumn("many", F.coalesce("many", F.lit(0))).withColumn("cell", F.lit(0)).withColumn("visits", F.lit(0))
     for level in range(LEVELS):
         d = F.bit_count(F.col("fp").bitwiseXOR(F.lit(vantage(level)))).cast("int")
@@ -267,13 +267,13 @@ def deduplicated(docs: DataFrame, **how) -> DataFrame:
     found = written(near_duplicates(docs, **how).select("doc_id", "component_id"), "found")
     gone = written(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_docloom_id")).distinct(), "gone")
     again = written(found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_docloom_id")).count().filter("count > 1").select("_docloom_id"), "again")
-    kept = sized_join(docs, gone, F.col("doc_id") == F.col("_docloom_id"), "left_anti", 16)
+    kept = sized_join(docs, gone, F.col("doc_id") == F.col("_docloom_id"), "left_anti")
     nameless = kept.filter("doc_id is null").dropDuplicates(["text"])
     named = kept.filter("doc_id is not null")
     if again.isEmpty():
         return named.unionByName(nameless)
-    once = sized_join(named, again, F.col("doc_id") == F.col("_docloom_id"), "left_anti", 16)
-    more = sized_join(named, again, F.col("doc_id") == F.col("_docloom_id"), "left_semi", 16)
+    once = sized_join(named, again, F.col("doc_id") == F.col("_docloom_id"), "left_anti")
+    more = sized_join(named, again, F.col("doc_id") == F.col("_docloom_id"), "left_semi")
     return once.unionByName(more.dropDuplicates(["doc_id"])).unionByName(nameless)
 
 

@@ -46,14 +46,49 @@ def test_bounds_hold():
     rng = np.random.default_rng(6)
     x, q = rng.standard_normal((4000, 64)), rng.standard_normal((10, 64))
     turn = N.rotation(64)
-    codes, length, align = N.encode(x, turn)
-    ones = np.bitwise_count(codes).sum(1, dtype=np.int64)
-    block = N.Queries(np.arange(10), q, turn)
-    outside = 0
-    for i in range(10):
-        value, bound = block.estimate(i, codes, length, align, ones, 3.0)
-        outside += (np.abs(value - x @ q[i]) > bound).sum()
-    assert outside / 40000 < 0.003 and np.allclose(turn @ turn.T, np.eye(64))
+    value, apart = N.estimates((q @ turn).astype(np.float32), *N.encode(x, turn), 3.0)
+    outside = np.abs(value - q @ x.T) > apart * np.linalg.norm(q, axis=1)[:, None]
+    assert outside.mean() < 0.003 and np.allclose(turn @ turn.T, np.eye(64))
+
+
+def test_cells_prune_clusters():
+    """Clustered vectors: most cells are ruled out by the triangle bound, and
+    most rows of those that are met by their codes; nothing is missed."""
+    rng = np.random.default_rng(7)
+    middle = rng.standard_normal((40, 32))
+    x = (middle[rng.integers(0, 40, 6000)] + 0.05 * rng.standard_normal((6000, 32))).astype(np.float32).astype(float)
+    ids, turn = np.arange(6000), N.rotation(32)
+    q = N.Queries(ids[::50], x[::50], turn, N.centres(x[:3000]), N.first_floor(ids[::50], x[::50], ids[:3000], x[:3000], 20))
+    met = [0, 0, 0]
+    i, v, s = q.best(ids, x, q.floor.copy(), 20, 3.0, met)
+    assert met[0] == 120 * 6000 and met[1] < 0.3 * met[0] and met[2] < 0.1 * met[0]
+    got = {(int(q.ids[a]), int(b)) for a, b, c in zip(i, v, s)}
+    want = brute(ids, x, ids[::50].tolist(), 20)
+    assert len({(a, b) for a, _, b in want} & got) >= 0.99 * len(want)
+
+
+def test_sql(spark):
+    """Scores, ranks and ties as SQL has them, to the last bit."""
+    import duckdb
+
+    rng = np.random.default_rng(8)
+    x = rng.integers(-2, 3, (300, 8)).astype(float)
+    vectors = rows(spark, np.arange(300), x)
+    duckdb_rows = [(int(i), list(map(float, v))) for i, v in enumerate(x)]
+    c = duckdb.connect()
+    c.sql("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    c.executemany("INSERT INTO embeddings VALUES (?, ?)", duckdb_rows)
+    want = c.sql(f"SELECT query_id, rank, vec_id, score FROM ({N.ORACLE})").fetchall()
+    assert sorted(map(tuple, N.nearest(vectors, epsilon=8).collect())) == sorted(want)
+
+
+def test_long_vectors_and_many_copies(spark):
+    """512 components; a third of the rows are one vector."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((90, 512)).astype(np.float32).astype(float)
+    x[30:60] = x[30]
+    got = N.nearest(rows(spark, np.arange(90), x), k=5, epsilon=8, seed=1).collect()
+    assert {(r.query_id, r.rank, r.vec_id) for r in got} == brute(np.arange(90), x, range(0, 90, 20), 5)
 
 
 def test_unusable_vectors(spark):
