@@ -17,8 +17,15 @@ def test_budget(hist, share):
     reach = {0}
     for s, c in hist.items():
         reach = {r + s * k for r in reach for k in range(c + 1)}
-    best = min(abs(r - budget) for r in reach)
-    assert abs(int((size * got).sum()) - budget) <= best + size.max()
+    assert abs(int((size * got).sum()) - budget) == min(abs(r - budget) for r in reach)
+
+
+def test_budget_with_a_common_divisor_and_one_odd_size():
+    fit = lambda sizes, counts, budget: int(np.dot(sizes, X.fit_budget(np.array(sizes), np.array(counts), budget)))
+    assert fit([2, 1_000_001], [10**9, 1], 10**9 + 1) == 10**9 + 1
+    assert fit([1000, 1001], [10**6, 1], 500_300) == 500_001
+    assert fit([30, 42], [5, 5], 100) == 102
+    assert fit(list(range(50, 3000)), [2] * 2950, 1_234_567) == 1_234_567
 
 
 def test_large_documents_overshoot_if_that_is_nearer():
@@ -80,6 +87,21 @@ def test_rows_follow_the_mix(docs):
     assert got == {k: v for k, v in took.items() if v}
 
 
+def test_rows_without_a_name(docs):
+    """Null and repeated ids in bulk are told apart by their texts, and equal
+    rows by number."""
+    rows = [(None, "w " * (i % 9 + 1), "en", "a") for i in range(90)] + [(7, "v " * (i % 3 + 1), "en", "a") for i in range(30)] + [(8, "u v", "en", "b")] * 11
+    d = docs(rows)
+    took = X.mix(d).toPandas()
+    out = X.mixed_documents(d).collect()
+    assert sum(len(r.text.split()) for r in out) == took.taken.sum() and set(took.taken // took["size"]) <= {0, 1, 2}
+    for source in "ab":
+        target = sum(len(r[1].split()) for r in rows if r[3] == source)
+        assert sum(len(r.text.split()) for r in out if r.source == source) <= 2 * target
+    counts = [sum(r.text == t and r.doc_id == i for r in out) for i, t in {(r[0], r[1]) for r in rows}]
+    assert all(c >= 0 for c in counts) and len(out) == sum(counts)
+
+
 def test_empty(docs):
     assert X.mix(docs([])).count() == 0
     assert X.mix(docs([(1, None), (2, "")])).toPandas().taken.tolist() == [0, 0]
