@@ -43,17 +43,19 @@ def chain(rng, n, flips):
     return out
 
 
-@pytest.mark.parametrize("big", [1 << 16, 40])
-def test_shards_and_trees(spark, big):
-    """Chains, a dense ball (one hot shard), and noise, against all pairs; with
-    big = 40 the ball is split by vantage points twice."""
+@pytest.mark.parametrize("big, deep", [(1 << 18, 1), (40, 2), (1 << 18, 3)])
+def test_shards_and_trees(spark, big, deep):
+    """Chains, a dense ball (one hot shard), many fingerprints of one half, and
+    noise, against all pairs; with big = 40 the hot shards are split by vantage
+    points of the other half."""
     rng = np.random.default_rng(5)
     centre = int(rng.integers(0, 1 << 63))
     ball = [centre ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.choice(47, (600, 2))]
-    fps = sorted({*chain(rng, 60, 3), *chain(rng, 40, 2), *ball, *rng.integers(0, 1 << 63, 500).tolist()})
+    hot = [centre & 0xFFFFFFFF | int(x) << 32 for x in rng.integers(0, 1 << 31, 300)]
+    fps = sorted({*chain(rng, 60, 3), *chain(rng, 40, 2), *ball, *hot, *rng.integers(0, 1 << 63, 500).tolist()})
     n = rng.integers(1, 4, len(fps))
     classes = written(spark.createDataFrame([(f, int(k)) for f, k in zip(fps, n)], "fp long, n long"), "classes")
-    links = written(H.near_links(classes, big), "links")
+    links = written(H.near_links(classes, big, deep), "links")
     x = np.array(fps, np.uint64)
     near = (np.bitwise_count(x[:, None] ^ x[None]) <= 3) & ~np.eye(len(x), dtype=bool)
     want = {f: int(c) for f, c in zip(fps, near @ n) if c}
@@ -64,19 +66,40 @@ def test_shards_and_trees(spark, big):
     assert {f: roots.get(f, f) for f in fps} == dict(zip(fps, comp))
 
 
+def test_branches_are_pruned():
+    """Of 20,000 random fingerprints in one shard by the first half, the tree
+    compares less than a hundredth of the pairs, and finds those planted."""
+    rng = np.random.default_rng(6)
+    fp = np.unique(rng.integers(0, 1 << 63, 20000))
+    mate = fp[:50] ^ np.int64(1 << 40) ^ np.int64(1 << 3)
+    every = np.concatenate((fp, mate))
+    rows = np.concatenate((every, every))
+    kind = np.repeat([H.HOME, H.NEXT], len(every))
+    out, x, y, links = H.shard_links(np.zeros(len(rows), np.int64), rows, np.ones(len(rows), np.int64), kind, np.zeros(len(rows), np.int64))
+    assert links.met[0] > 4e8 and 0 < links.met[1] < links.met[0] / 100
+    assert {int(f) for f, k in zip(x, out) if k == 0} >= {int(f) for f in mate}
+
+
 def test_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)], "x long, y long").repartition(5)
     assert {r.root for r in H.components(edges).collect()} == {0}
 
 
 def test_one_of_each_stays(docs, awkward):
-    rows = awkward + [(9, "one two"), (30, "one two")]
+    """Of every component the row of the least id; equal rows collapse, and
+    rows without id or with one id twice go only if another row is kept."""
+    rows = awkward + [(9, "one two"), (30, "one two"), (None, "alone here now"), (None, "alone here now"), (50, "first text of two"), (50, "second quite other words")]
     d = docs(rows)
     out = H.deduplicated(d)
     assert out.columns == d.columns
     got = [(r.doc_id, r.text) for r in out.collect()]
-    comp = {r.doc_id: r.component_id for r in H.near_duplicates(d).collect()}
-    assert sorted(i for i, _ in got if i is not None) == sorted({c for i, c in comp.items() if i is not None})
+    near, comp = brute([brute_print(r[1]) for r in rows], list(range(len(rows))))
+    want = {}
+    for r, c in zip(rows, comp):
+        want.setdefault(c, []).append(r)
+    assert len(got) == len(want)
+    assert sorted(str(i) for i, _ in got) == sorted(str(min((r[0] for r in rs if r[0] is not None), default=None)) for rs in want.values())
+    assert (50, "first text of two") in got and (50, "second quite other words") in got
 
 
 def test_empty(docs):
