@@ -46,13 +46,19 @@ def workdir(spark: SparkSession) -> str:
     return f"file://{workdir.own}"
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder."""
+    path = f"{workdir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again.
 
     Cuts the lineage with a copy that outlives any executor, and lets several
     later passes read only the columns they need."""
-    path = f"{workdir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    _made.append(path)
+    path = folder(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -120,8 +126,7 @@ class appended:
 
     def __init__(self, spark: SparkSession, name: str, schema: str):
         self.spark, self.schema = spark, schema
-        self.path = f"{workdir(spark)}/{name}-{uuid.uuid4().hex}"
-        _made.append(self.path)
+        self.path = folder(spark, name)
         self._any = False
 
     def add(self, df: DataFrame) -> None:

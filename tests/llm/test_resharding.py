@@ -2,9 +2,9 @@ import itertools
 import zlib
 
 import pytest
-from pyspark.sql import functions as F
 
 from docloom.llm import resharding as S
+from docloom.llm.common import written
 
 
 def test_flow_is_cheapest():
@@ -27,43 +27,73 @@ def test_staying_is_preferred():
     assert S.split_evenly(10, [0, 20, 4]) == [7, 0, 3] and S.split_evenly(3, [5, 5, 5]) == [1, 1, 1]
 
 
-def place(df):
-    d = df.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), "text")
-    rows = d.select("doc_id", (F.col("bytes") + 1).alias("size"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"), F.lit(0).alias("old"))
-    from docloom.llm.common import written
+@pytest.fixture
+def place(tmp_path):
+    """Rows written as a table, located and placed."""
 
-    return S.reshard(written(rows, "rows"))
+    def run(df, shards=16, files=3):
+        path = str(tmp_path / f"table{len(list(tmp_path.iterdir()))}")
+        df.repartition(files).write.parquet(path)
+        table = df.sparkSession.read.parquet(path)
+        return table, S.resharded(table, shards)
 
+    return run
 
-def test_documents(docs, awkward):
-    rows = awkward + [(100 + i, "x" * (i * 7 % 90)) for i in range(3000)]
-    got = place(docs(rows)).toPandas()
+
+def test_documents(docs, awkward, place, tmp_path):
+    """Null and empty texts, copies, repeated rows, a very long text, and
+    columns that clash; then the files."""
+    rows = awkward + [(100 + i, "x" * (i * 7 % 90) + str(i)) for i in range(3000)]
+    table, placed = place(docs(rows))
+    placed = written(placed, "placed")
+    got = placed.toPandas()
     assert sorted(got.text_crc32) == sorted(zlib.crc32((r[1] or "").encode()) for r in rows)
     assert sorted(got["size"]) == sorted(len((r[1] or "").encode()) + 1 for r in rows)
     for _, s in got.groupby("shard"):
         assert sorted(s.slot) == list(range(len(s)))
+    assert (got.groupby(["size", "text_crc32"]).shard.nunique() == 1).all()
     fair = got.groupby("shard")["size"].sum().drop(got.shard[got["size"].idxmax()])
-    assert len(fair) == 15 and fair.max() - fair.min() <= 400
+    assert len(fair) == 15 and fair.max() - fair.min() <= 1500
+    out = str(tmp_path / "out")
+    dirty = S.rewrite_affected(table, placed, out)
+    files = table.sparkSession.read.parquet(out)
+    assert {r.docloom_shard for r in files.select("docloom_shard").distinct().collect()} == set(dirty)
+    have = sorted((zlib.crc32((r.text or "").encode()), r.shard, r.docloom_shard, r.docloom_slot) for r in files.collect())
+    assert have == sorted((r.text_crc32, "clash", r.shard, r.slot) for r in got.itertuples() if r.shard in dirty)
 
 
-def test_few_and_none(docs):
-    assert place(docs([])).count() == 0
-    assert place(docs([(1, "a"), (2, None)])).count() == 2
+def test_few_and_none(docs, place):
+    assert place(docs([]))[1].count() == 0
+    assert place(docs([(1, "a"), (2, None)]))[1].count() == 2
 
 
-def test_moves_the_fewest_bytes(spark):
-    from docloom.llm.common import written
+def test_a_group_above_a_share_is_split(docs, place):
+    """A third of all rows are one text; no shard gets more than its share."""
+    rows = [(i if i % 2 else None, "same words") for i in range(2000)] + [(5000 + i, f"own words {i}") for i in range(4000)]
+    got = place(docs(rows))[1].toPandas()
+    size = got.groupby("shard")["size"].sum()
+    assert len(size) == 16 and size.max() - size.min() <= 0.02 * size.mean()
+    assert sorted(got.slot[got["shard"] == 3]) == list(range((got["shard"] == 3).sum()))
+
 
-    rows = spark.createDataFrame([(i, 10, 0, i % 4) for i in range(4000)] + [(9000 + i, 10, 0, 0) for i in range(800)], "doc_id long, size long, text_crc32 long, old int")
-    got = S.reshard(written(rows, "rows"), shards=4).toPandas()
+def test_moves_the_fewest_bytes(spark):
+    rows = spark.createDataFrame([(i, 10, i % 4) for i in range(4000)] + [(9000 + i, 10, 0) for i in range(800)], "doc_id long, size long, old int")
+    got = S.reshard(written(rows, "rows"), ["doc_id"], shards=4).toPandas()
     size = got.groupby("shard")["size"].sum()
     assert size.max() - size.min() <= 20
     moved = got[got.old != got.shard]["size"].sum()
     assert abs(moved - 6000) <= 60 and (got[got.old != got.shard].old == 0).all()
 
 
-def test_rewrite(spark, tmp_path):
-    docs = spark.createDataFrame([(i, "t") for i in range(6)], "doc_id long, text string")
-    placed = spark.createDataFrame([(0, 0, 0), (1, 0, 1), (2, 1, 1), (3, 2, 2), (4, 2, 2), (5, 3, 3)], "doc_id long, old int, shard int")
-    assert S.rewrite_affected(docs, placed, str(tmp_path / "out")) == [0, 1]
-    assert {(r.doc_id, r.shard) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(0, 0), (1, 1), (2, 1)}
+def test_blocks_of_a_single_file(docs, place):
+    """One file counts as consecutive blocks; a balanced table hardly moves,
+    but copies move to the block that holds most of them."""
+    rows = [(i, f"text number {i:05d}") for i in range(1600)]
+    table, placed = place(docs(rows).coalesce(1), files=1)
+    got = placed.toPandas()
+    assert sorted(got.old.unique()) == list(range(16)) and (got.old != got.shard).mean() < 0.05
+
+
+def test_only_changed_shards_are_affected(spark):
+    placed = spark.createDataFrame([(0, 0), (0, 1), (1, 1), (2, 2), (2, 2), (3, 3)], "old int, shard int")
+    assert S.affected(placed) == [0, 1]
