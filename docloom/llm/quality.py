@@ -3,16 +3,18 @@
 Statistics of the whole text (characters, words, lines; no label, language,
 source or id) are standardised; cosines of random projections approximate a
 Gaussian kernel over them; ridge weights follow from normal equations that each
-partition sums up on its own and a few tasks add together. Isotonic regression
-on out-of-fold scores, pooled in a fixed number of bins, makes them
-probabilities. What reaches the driver has a fixed size at any scale.
-
-Learned from: labelled rows whose crc32(doc_id) mod 5 isn't 0. Defined results:
-a null text counts as empty and gets a score as any other; of several labels of
-one id the largest counts; null labels and labels of unknown ids are ignored;
-without labels of both kinds every score is their mean, or 0.5; repeated rows
-are scored alike; a null ``doc_id`` is scored and not held out; extra columns
-are ignored; an empty table gives an empty result.
+partition sums up on its own. Isotonic regression on out-of-fold scores, in a
+fixed number of bins, makes them probabilities. What reaches the driver has a
+fixed size at any scale.
+
+Learned from: labelled rows whose crc32(doc_id) mod 5 isn't 0, of at most about
+``TRAIN_ROWS`` ids, chosen by a seeded hash; every document is scored. Defined
+results: a null text counts as empty and gets a score as any other; a very long
+one is described as a whole; of several labels of one id the largest counts;
+null labels and labels of unknown ids are ignored; without labels of both kinds
+every score is their mean, or 0.5; repeated rows are scored alike; a null
+``doc_id`` is scored and not held out; extra columns are ignored, and kept by
+:func:`accepted`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunks, documents, text_bytes, written
@@ -34,6 +36,10 @@ RIDGE = 1e-3
 WIDTH = 0.12
 THRESHOLD = 0.3
 SEED = 2
+#: Labelled documents that are learned from, about; all, if there are fewer.
+TRAIN_ROWS = 1 << 15
+#: Partitions of them, and so partial sums that are added up.
+PARTS = 16
 
 _CLASSES = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", " \t\r\x0b\f", "\n", ".,;:", "!?", "#*$%&|<>", "()[]{}\"'`-_/\\=+~^@"]
 _CLASS = np.full(256, len(_CLASSES), np.uint8)  # other control characters
@@ -135,17 +141,33 @@ def statistics(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     ).astype(np.float32)
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out and the statistics ``f``; a map over the text."""
+def held_out() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def sampled_labels(labels: DataFrame, most: int = TRAIN_ROWS, seed: int = SEED) -> DataFrame:
+    """(doc_id, y, fold) of about ``most`` labelled ids that aren't held out,
+    chosen by a seeded hash; all if there are fewer."""
+    y = labels.filter("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality").cast("int")).alias("y"))
+    y = written(y.filter(~held_out()), "labels")
+    n = y.count()
+    part = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 32)) < F.lit(int((1 << 32) * min(1.0, most / max(n, 1))))
+    return y.filter(part).withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int"))
+
+
+def training_rows(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """f, y, fold: the statistics of the sampled labels' documents. The sample
+    has a bounded size, so no text is shuffled."""
 
     def run(batches):
-        for part, data, off in chunks(batches):
-            x = statistics(data, off)
-            f = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), DIM).cast(pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([part.column(0), f], names=["doc_id", "f"])
+        for part, data, off in chunks(batches, "text"):
+            f = pa.FixedSizeListArray.from_arrays(pa.array(statistics(data, off).ravel()), DIM).cast(pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([f, part.column(1), part.column(2)], names=["f", "y", "fold"])
 
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(run, "doc_id long, f array<float>").withColumn("held_out", held)
+    mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).join(F.broadcast(sample), "doc_id")
+    rows = written(mine.select("text", "y", "fold").mapInArrow(run, "f array<float>, y int, fold int"), "train")
+    # a fixed number of partial sums, however many files there are
+    return written(rows.repartition(PARTS), "train")
 
 
 @dataclass
@@ -184,7 +206,8 @@ class Model:
 
 
 def isotonic(good: np.ndarray, all_: np.ndarray) -> np.ndarray:
-    """Pool-adjacent-violators over bins; empty bins take what lies between."""
+    """The monotone fit of the bins' shares, weighted by their counts, by pooling
+    adjacent violators; empty bins take what lies between."""
     blocks: list[list[float]] = []
     for i in np.flatnonzero(all_).tolist():
         blocks.append([float(good[i]), float(all_[i]), i, i])
@@ -194,29 +217,20 @@ def isotonic(good: np.ndarray, all_: np.ndarray) -> np.ndarray:
     at, v = [], []
     for g, n, a, b in blocks:
         at += [a, b]
-        v += [(g + 0.5) / (n + 1)] * 2
-    return np.interp(np.arange(len(all_)), at, np.maximum.accumulate(v))
+        v += [g / n] * 2
+    return np.interp(np.arange(len(all_)), at, v)
 
 
 def summed(rows: DataFrame, part, width: int) -> np.ndarray:
-    """Adds what ``part`` makes of each partition: (fold, vector) rows, in two
-    steps, so that the driver adds at most 16 per fold."""
+    """Adds what ``part`` makes of each of the PARTS partitions: (fold, vector)
+    rows."""
 
     def vectors(batches):
         for fold, v in part(batches):
             yield pa.RecordBatch.from_arrays([pa.array([fold], pa.int32()), pa.array([np.asarray(v, "<f8").tobytes()], pa.binary())], names=["fold", "v"])
 
-    def add(batches):
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for fold, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                v = np.frombuffer(v, "<f8")
-                total[fold] = total[fold] + v if fold in total else v
-        yield from (pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([v.tobytes()], pa.binary())], names=["fold", "v"]) for k, v in total.items())
-
-    some = rows.mapInArrow(vectors, "fold int, v binary").withColumn("at", F.pmod(F.monotonically_increasing_id(), F.lit(16)))
     out = np.zeros((FOLDS, width))
-    for r in some.repartition(16, "at").select("fold", "v").mapInArrow(add, "fold int, v binary").collect():
+    for r in rows.mapInArrow(vectors, "fold int, v binary").toLocalIterator():
         out[r[0]] += np.frombuffer(r[1], "<f8")
     return out
 
@@ -284,36 +298,28 @@ def fit(train: DataFrame, features: int = FEATURES, ridge: float = RIDGE, width:
     return model
 
 
-def train_on(found: DataFrame, labels: DataFrame, **how) -> Model:
-    """Fits on the labelled rows of ``found`` that aren't held out."""
-    y = labels.filter("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality").cast("int")).alias("y"))
-    fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
-    return fit(written(found.filter("not held_out").join(y, "doc_id").select("f", "y", fold), "train"), **how)
+def train_on(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, **how) -> Model:
+    """Fits on a bounded sample of the labelled rows that aren't held out."""
+    return fit(training_rows(docs, sampled_labels(labels, most)), **how)
 
 
-def scored(found: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    shared = found.sparkSession.sparkContext.broadcast(model)
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **how) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document: a map, as the
+    model has a fixed size."""
+    shared = docs.sparkSession.sparkContext.broadcast(train_on(docs, labels, **how))
 
     def run(batches):
-        for b in batches:
-            f = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, DIM).astype(np.float64)
-            s = shared.value.score(f)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
-
-    return found.select("doc_id", "held_out", "f").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
-
+        for part, data, off in chunks(batches):
+            s = shared.value.score(statistics(data, off).astype(np.float64))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s)], names=["doc_id", "score"])
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **how) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document."""
-    found = written(described(docs), "statistics")
-    return scored(found, train_on(found, labels, **how), threshold)
+    scores = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(run, "doc_id long, score double")
+    return scores.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **how) -> DataFrame:
-    """The rows of ``docs`` whose text scores at least ``threshold``. The model
-    has a fixed size, so the second pass is a map without any join."""
-    model = train_on(written(described(docs), "statistics"), labels, **how)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """The rows of ``docs`` whose text scores at least ``threshold``."""
+    shared = docs.sparkSession.sparkContext.broadcast(train_on(docs, labels, **how))
 
     def run(batches):
         for part, data, off in chunks(batches):
