@@ -10,7 +10,8 @@ carries the smallest ``doc_id`` in which its strings start; the matching
 statistics of a read give, for the last 13 words at each position, the state
 and with it the first document that has them.
 
-Defined results: a null text has no words; documents of fewer than 13 words stay
+Defined results: a null text has no words; a very long text is streamed in
+slices of its anchors, and an anchor that repeats within it counts each time; documents of fewer than 13 words stay
 whole; of equal texts that of the least id is kept; rows that repeat one
 ``doc_id`` don't remove each other; a null ``doc_id`` counts as larger than all
 others; extra columns are ignored; an empty table gives an empty result.
@@ -156,13 +157,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, limi
         return starts, ends, bounds, at, h, lo, hi, np.searchsorted(bounds, at, "right") - 1
 
     def find(data, off):
-        h, doc = word_anchors(data, off)[4::3]
-        if not len(h):
-            return h, doc
-        pair = np.unique(np.stack((doc.astype(np.uint64), h)), axis=1)  # once a document
-        return pair[1], pair[0].astype(np.int64)
+        return word_anchors(data, off)[4::3]
 
-    repeated = Repeated(docs, find, limit, hot)
+    repeated = Repeated(docs, find, limit, hot, once=True)
     look = repeated.found()
 
     def reads(batches):

@@ -14,8 +14,11 @@ most half the way from a quartile to 0, and nine tenths of it to 1 (short texts
 come near), so both always lie inside of what is possible.
 
 Defined results: null and empty texts have no words, fail the base rule and are
-not kept; repeated rows are judged alike; extra columns are ignored; an empty
-table gives an empty result.
+not kept; a very long text is measured as a whole; repeated rows, and rows that
+share a null ``doc_id``, are judged each by its text; a table without ``lang``
+is judged by script; of scripts equally frequent in a language the first by name
+counts; a measure on a band's limit is inside; extra columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, documents, sized_join, text_bytes, written
@@ -41,6 +44,8 @@ REACH = (6.0, 6.0, 6.0, 2.0)
 FLOOR = (0.2, 0.2, 0.1, 0.2)
 #: The weight of the script, in texts, in the spread of its languages' measures.
 LEAST = 50
+#: Measures are rounded to one in so many for the quartiles.
+GRID = 1 << 12
 MIN_WORDS = 50
 WINDOW = 3
 
@@ -159,7 +164,8 @@ def measured(docs: DataFrame, paths: tuple[str, ...] | None = None) -> DataFrame
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang", "script", *ints, *MEASURES])
 
     schema = "doc_id long, lang string, script string, " + ", ".join(f"{c} long" for c in ints) + ", " + ", ".join(f"{c} double" for c in MEASURES)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text_bytes().alias("text")).mapInArrow(run, schema)
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), text_bytes().alias("text")).mapInArrow(run, schema)
 
 
 def base_failed():
@@ -171,6 +177,18 @@ def band_key():
     return F.coalesce(F.concat(F.lit("lang "), F.col("lang")), F.col("script"))
 
 
+def quartiles(counts: DataFrame, by: str) -> DataFrame:
+    """``by`` and, for every measure, its exact quartiles, to 1/GRID: the least
+    values that a quarter, half and three quarters are at most. ``counts``: rows
+    by ``by``, measure and value."""
+    so_far = Window.partitionBy(by, "measure").orderBy("value")
+    each = counts.groupBy(by, "measure", "value").agg(F.sum("n").alias("n"))
+    each = each.withColumn("up", F.sum("n").over(so_far)).withColumn("all", F.sum("n").over(Window.partitionBy(by, "measure")))
+    at = [F.min(F.when(4 * F.col("up") >= k * F.col("all"), F.col("value"))) / GRID for k in (1, 2, 3)]
+    found = each.groupBy(by, "measure").agg(F.array(*at).alias("q"))
+    return found.groupBy(by).agg(*(F.max(F.when(F.col("measure") == c, F.col("q"))).alias(c) for c in MEASURES))
+
+
 def bands(found: DataFrame, reach: Sequence[float] = REACH, least: int = LEAST) -> DataFrame:
     """Low and high limits of each measure by band.
 
@@ -180,11 +198,14 @@ def bands(found: DataFrame, reach: Sequence[float] = REACH, least: int = LEAST)
     texts more had the mean distances of that script's languages; and it is
     wider by 1/(n + 1) of the script's interquartile range."""
     good = found.filter(~base_failed())
-    q = lambda c: F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000).alias(c)
-    scripts = good.groupBy("script").agg(*map(q, MEASURES))
-    named = good.filter("lang is not null")
-    most = named.groupBy("lang", "script").count().groupBy("lang").agg(F.min_by("script", F.struct(-F.col("count"), F.col("script"))).alias("script"))
-    langs = written(named.groupBy("lang").agg(F.count("*").alias("n"), *map(q, MEASURES)).join(most, "lang"), "langs")
+    # the quartiles of languages and scripts come from one exact count of values
+    values = F.explode(F.array(*(F.struct(F.lit(c).alias("measure"), F.round(F.col(c) * GRID).cast("long").alias("value")) for c in MEASURES))).alias("v")
+    counts = written(good.select("lang", "script", values).groupBy("lang", "script", "v.measure", "v.value").agg(F.count("*").alias("n")), "counts")
+    scripts = quartiles(counts, "script")
+    named = counts.filter("lang is not null")
+    sizes = named.filter(F.col("measure") == MEASURES[0]).groupBy("lang", "script").agg(F.sum("n").alias("n"))
+    most = sizes.groupBy("lang").agg(F.min_by("script", F.struct(-F.col("n"), F.col("script"))).alias("script"), F.sum("n").alias("n"))
+    langs = written(quartiles(named, "lang").join(most, "lang"), "langs")
     mean = lambda d: F.sum(F.col("n") * d) / F.sum("n")
     apart = [mean(F.col(c)[k + 1] - F.col(c)[k]).alias(f"{c}_d{k}") for c in MEASURES for k in (0, 1)]
     usual = langs.groupBy("script").agg(*apart)

@@ -10,7 +10,8 @@ blocks) and looked up in the plan. The text is read once and never shuffled.
 Defined results: a null text counts as empty (one piece, the end id alone); a
 text of any length is cut only if it has more than ``capacity`` ids; repeated
 rows are packed each for itself; an empty table gives an empty result; further
-columns are ignored; a null ``doc_id`` is kept; the literal ``<|endoftext|>`` in
+columns are ignored; a null ``doc_id`` is kept, and its pieces come last of their
+length; equally long pieces are told apart by a hash of id, piece and ids; the literal ``<|endoftext|>`` in
 a text is that token, as in the vocabulary's tokenizer file.
 """
 
@@ -187,9 +188,10 @@ def place(ranked: DataFrame, plan: np.ndarray) -> DataFrame:
 
 def pack(docs: DataFrame, vocab: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """All of ``docs`` (doc_id, text) packed; see the module's text."""
-    pieces = written(token_pieces(docs, vocab or vocabulary("byte_bpe_50k.tiktoken"), capacity, end_id), "pieces")
+    pieces = token_pieces(docs, vocab or vocabulary("byte_bpe_50k.tiktoken"), capacity, end_id)
+    pieces = written(pieces.withColumn("salt", F.monotonically_increasing_id()), "pieces")
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
-    return place(rank_within(pieces, ["length"], ["doc_id", "piece"]), plan_packing(counts, capacity))
+    return place(rank_within(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], salt="salt"), plan_packing(counts, capacity))
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,15 +3,17 @@
 The entities are the e-mail addresses, IP addresses, card and phone numbers the
 patterns find. How strongly a term t reveals an entity e follows from corpus
 co-occurrence: PMI(t, e) = log2 p(t, e) / (p(t) p(e)), as a share of what there
-is to reveal, IC(e) = -log2 p(e). A term above ``DISCLOSURE`` that stands near e
-in at least ``SUPPORT`` different contexts is removed (generalised to its kind)
-in every document that mentions e. p(t) counts the documents of the whole
-corpus. Contexts are counted, not mentions, so that copies of one text don't
-make all its words revealing.
-
-Defined results: null and empty texts have no spans; positions are code points;
-repeated rows are treated alike; spans of one kind don't overlap; extra columns
-are ignored; an empty table gives an empty result.
+is to reveal, IC(e) = -log2 p(e). p(t) and p(e) count the different texts of the
+whole corpus, p(t, e) those in which t stands near e; t is taken to be in SMOOTH
+texts more than it was seen in. A term at or above ``DISCLOSURE`` is removed
+(generalised to its kind) in every document that mentions e. Different texts
+are counted, not rows, so that copies of one text don't make its words revealing.
+
+Defined results: null and empty texts have no spans; a very long text is
+searched as a whole; positions are code points; repeated rows, and rows that
+share a null ``doc_id``, are treated by their texts; spans of one kind don't
+overlap; a share of exactly ``DISCLOSURE`` is enough; extra columns are ignored
+by the spans and kept by :func:`sanitised`; an empty table gives an empty result.
 """
 
 from __future__ import annotations

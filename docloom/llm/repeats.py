@@ -139,18 +139,26 @@ class Repeated:
     enough to broadcast, they are; otherwise each document gets its own by a
     shuffled join (columns ``again`` and ``hot``)."""
 
-    def __init__(self, docs: DataFrame, find, limit: int = BROADCAST_BYTES, hot: int = HOT):
-        """``find(data, off)`` -> anchors of a chunk and their documents."""
+    def __init__(self, docs: DataFrame, find, limit: int = BROADCAST_BYTES, hot: int = HOT, once: bool = False):
+        """``find(data, off)`` -> anchors of a chunk and their documents.
+        ``once``: an anchor repeats only if it is in several documents; whether
+        it is hot depends on all its occurrences in any case."""
 
         def count(batches):
             for _, data, off in chunks(batches, limit=SLICE):
                 h, doc = find(data, off)
-                # a hash counts once a document if find says so, else each time
                 u, n = np.unique(h, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n.astype(np.int32))], names=["h", "n"])
+                cols = [pa.array(u.view(np.int64)), pa.array(n.astype(np.int32))]
+                if once:
+                    order = np.lexsort((doc, h))
+                    x, d = h[order], doc[order]
+                    new = np.append(True, (x[1:] != x[:-1]) | (d[1:] != d[:-1])) if len(x) else np.zeros(0, bool)
+                    cols.append(pa.array(np.diff(np.append(np.flatnonzero(np.append(True, x[new][1:] != x[new][:-1])), new.sum())).astype(np.int32) if len(x) else np.zeros(0, np.int32)))
+                yield pa.RecordBatch.from_arrays(cols, names=["h", "n", "m"][: len(cols)])
 
         t = docs.select("text")
-        rep = t.mapInArrow(count, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h", (F.col("n") > hot).alias("hot"))
+        rep = t.mapInArrow(count, "h long, n int" + ", m int" * once).groupBy("h").agg(F.sum("n").alias("n"), F.sum("m" if once else "n").alias("m"))
+        rep = rep.filter("m > 1").select("h", (F.col("n") > hot).alias("hot"))
         rep = written(rep, "repeated")
         self.docs, self.shared = docs, None
         if rep.count() * 9 <= limit:

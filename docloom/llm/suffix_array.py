@@ -14,7 +14,9 @@ there. A bucket is read as one sorted sequential file; there are 336 rounds
 whatever the documents' lengths.
 
 Defined results: null and empty texts have no bytes and no spans; texts shorter
-than a window are kept whole; repeated rows and copies remove each other
+than a window are kept whole, texts of any length are worked on as a whole;
+rows are known by the digest of their text, so null and repeated ids make no
+difference; repeated rows and copies remove each other
 entirely if long enough; overlaps within one document count; extra columns are
 ignored; an empty table gives an empty result.
 """

@@ -48,6 +48,13 @@ def test_against_all_windows(docs, awkward, limit, hot):
     assert have == sorted((str(r[0]), *b) for r, b in zip(rows, brute(rows)))
 
 
+def test_a_hot_anchor_within_one_text(docs):
+    """A passage repeated thousands of times in one long text isn't gathered."""
+    rows = [(1, "a b c d e f g h i j k l m n " * 30000), (2, "x y a b c d e f g h i j k l m n o p"), (3, "alone")]
+    got = A.digest(A.without_known(docs(rows), hot=1000)).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted((str(r[0]), *b) for r, b in zip(rows, brute(rows)))
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text("ab", max_size=12), min_size=1, max_size=6), st.text("abc", max_size=12), st.integers(1, 4))
 def test_automaton(strings, query, window):

@@ -1,3 +1,4 @@
+import math
 import re
 from collections import Counter
 
@@ -101,6 +102,53 @@ def test_small_languages_have_bands_of_their_own(docs):
         assert got[2000].fallback_share > 0.5 and all(r.kept for i, r in got.items() if i < 3000), n
 
 
+def brute_kept(rows, found):
+    """``kept`` from the measures, by sorting."""
+    at = lambda v, p: sorted(v)[math.ceil(p * len(v)) - 1]
+    grid = lambda x: math.floor(x * T.GRID + 0.5) / T.GRID
+    good = [r for r in rows if not r["failed"]]
+    three = lambda rs, c: np.array([at([grid(r[c]) for r in rs], p) for p in (0.25, 0.5, 0.75)])
+    langs = {}
+    for r in good:
+        langs.setdefault(r["lang"], []).append(r)
+    script = {k: min(((-sum(r["script"] == s for r in rs), s) for s in {r["script"] for r in rs}))[1] for k, rs in langs.items()}
+    band = {}
+    for k, rs in langs.items():
+        alike = [x for x in langs if script[x] == script[k]]
+        for c, reach, floor in zip(T.MEASURES, T.REACH, T.FLOOR):
+            q, whole = three(rs, c), three([r for r in good if r["script"] == script[k]], c)
+            mean = sum(len(langs[x]) * np.diff(three(langs[x], c)) for x in alike) / sum(len(langs[x]) for x in alike)
+            down, up = (len(rs) * np.diff(q) + T.LEAST * mean) / (len(rs) + T.LEAST)
+            mid = (len(rs) * q[1] + whole[1]) / (len(rs) + 1)
+            wide = reach * (down + up + (whole[2] - whole[0]) / (len(rs) + 1))
+            low, high = min(mid - down - wide, mid - floor), max(mid + up + wide, mid + floor)
+            if c == "token_entropy":
+                low, high = max(low, (mid - down) / 2), min(high, (9 + mid + up) / 10)
+            band[k, c] = low, high
+    return {r["id"]: not r["failed"] and all(band[r["lang"], c][0] <= r[c] <= band[r["lang"], c][1] for c in T.MEASURES) for r in rows}
+
+
+def test_verdicts_against_sorting(docs):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(260):
+        words = WORDS if i % 2 else [w[::-1] + "é" for w in WORDS]
+        pick = rng.choice(words[: rng.integers(40, len(words))], rng.integers(40, 200))
+        text = " ".join("".join(rng.choice(list("qxzjkvw0123#"), 8)) if rng.random() < (i % 23 == 0) else w for w in pick)
+        rows.append((i, text, "en" if i % 2 else ["fr", "de"][i % 3 == 0], "s"))
+    found = T.token_measures([t for _, t, *_ in rows], tuple(map(T.vocabulary, T.VOCABULARIES)))
+    got = {r.doc_id: r for r in T.judged(docs(rows)).collect()}
+    plain = [{"id": i, "lang": lang, "script": T.script(t), "failed": got[i].base_failed, **dict(zip(T.MEASURES, m))} for (i, t, lang, _), m in zip(rows, found)]
+    want = brute_kept(plain, found)
+    assert {i: r.kept for i, r in got.items()} == want and 0 < sum(want.values()) < sum(not r.base_failed for r in got.values())
+
+
+def test_without_a_language_column(docs, awkward):
+    d = docs(awkward).drop("lang")
+    got = T.judged(d).collect()
+    assert len(got) == len(awkward) and not any(r.kept for r in got if r.n_words == 0)
+
+
 def test_script_and_empty(docs):
     assert (T.script("abc"), T.script("日本語の"), T.script("12")) == ("script 0", "script 48", "script none") or T.script("日本語の").startswith("script ")
     assert T.judged(docs([])).count() == 0

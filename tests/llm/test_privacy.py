@@ -1,4 +1,6 @@
 import hashlib
+import math
+import random
 import re
 
 from hypothesis import given, settings
@@ -98,6 +100,56 @@ def test_copies_change_nothing(docs):
         assert all(got[i] == want[1000 if i >= 2000 else i] for i in got)
 
 
+def revealing(rows):
+    """The terms to remove by text, from sets of texts."""
+    texts = {t or "" for _, t, *_ in rows}
+    has = {t: {w.lower() for w in V._TERM.findall(t)} for t in texts}
+    near, mention = {}, {}
+    for t in texts:
+        spans = V.base_spans(t)
+        words = V.terms(t, spans)
+        for kind, found in enumerate(spans):
+            for a, b in found:
+                e = (kind, V.normal(kind, t[a:b]))
+                mention.setdefault(e, set()).add(t)
+                before = [w for w in words if w[0] < a][-V.NEAR :]
+                after = [w for w in words if w[0] >= a][: V.NEAR]
+                for *_, w in before + after:
+                    near.setdefault((e, w), set()).add(t)
+    n = len(texts)
+    out = {t: set() for t in texts}
+    for (e, w), where in near.items():
+        spread = max(len(where), sum(w in h for h in has.values())) + V.SMOOTH
+        pmi = math.log2(len(where) * n / (spread * len(mention[e])))
+        content = math.log2(n / len(mention[e]))
+        if content > 0 and pmi >= V.DISCLOSURE * content:
+            for t in mention[e]:
+                out[t].add(w)
+    return out
+
+
+def test_terms_against_sets(docs):
+    """Term spans of a random corpus, with copies, against plain counting."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(900)] + ["İstanbul", "ÉCOLE", "straße"]
+    people = [f"p{i}@mail.example" for i in range(12)]
+    rows = []
+    for i in range(500):
+        w = rng.choices(words, k=rng.randint(5, 30))
+        for p in rng.sample(people, rng.choice([0, 0, 1, 2])):
+            w.insert(rng.randint(0, len(w)), p)
+            if rng.random() < 0.7:
+                w.insert(w.index(p), f"alias{people.index(p):x}qq".translate(str.maketrans("0123456789", "ghijklmnop")))
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, rows[i % 3][1]) for i in range(60)]
+    want = revealing(rows)
+    assert 0 < sum(map(len, want.values()))
+    got = {r.doc_id: r.spans for r in V.digest(V.found_spans(docs(rows))).collect()}
+    for i, t in rows:
+        have = [(int(a), int(b)) for k, a, b in (s.split(":") for s in got[i].split(",") if s) if k == "term"]
+        assert have == [(a, b) for a, b, w in V.terms(t, V.base_spans(t)) if w in want[t]], t
+
+
 def test_null_stays_null(docs):
     assert {r.doc_id: r.text for r in V.sanitised(docs([(1, None), (2, ""), (3, "a@b.cd")])).collect()} == {1: None, 2: "", 3: "[EMAIL]"}
     assert V.digest(V.found_spans(docs([]))).count() == 0
