@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import automata
+from . import automata, neighbours, oracles
 from .automata import op10_automaton_substring_dedup
 from .fertility import op7_tokeniser_fertility
 from .mixing import op5_subset_sum_mixing
@@ -29,4 +29,10 @@ QUERIES = {
         op10_automaton_substring_dedup,
     )
 }
-ORACLES: dict[str, str] = {"op10_automaton_substring_dedup": automata.ORACLE}
+#: The others learn, tokenise with a vocabulary file, or choose among equals.
+ORACLES: dict[str, str] = {
+    "op3_simhash_near_dedup": oracles.NEAR_DEDUP,
+    "op8_suffix_array_dedup": oracles.REPEATS,
+    "op9_rotated_code_neighbours": neighbours.ORACLE,
+    "op10_automaton_substring_dedup": automata.ORACLE,
+}
