@@ -8,8 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
 from .errors import StorageError, TypeMismatch
-from .operators.collection import Collection
-from .plans.cache import ResultCache
+from .operators.collection import Collection, CollectionConfig
 from .sources.files import Files
 from .sources.store import VERSION, Store
 
@@ -35,13 +34,15 @@ class Database:
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
         self._open: dict[str, Collection] = {}
 
-    def collection(self, name: str, schema: T.StructType | str | None = None, cache: bool = False) -> Collection:
+    def collection(self, name: str, schema: T.StructType | str | None = None, cache: bool = False, config: CollectionConfig | None = None) -> Collection:
+        config = config or CollectionConfig(cached=100 * cache, buckets=self.buckets)
         if not valid_name(name):
             raise StorageError(f"not a collection name: {name!r}")
         if isinstance(schema, str):
             schema = T._parse_datatype_string(schema)
         if name not in self._open:
-            self._open[name] = Collection(Store(self.spark, f"{self.root}/{name}", schema, self.buckets), cache=ResultCache() if cache else None)
+            store = Store(self.spark, f"{self.root}/{name}", schema, config.buckets, config.compression, key=config.key)
+            self._open[name] = Collection(store, config.id, config.variant, config.cache())
         held = self._open[name]
         if schema is not None:
             have = {f.name: f.dataType for f in held.df.schema if f.name != VERSION}

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import dataclasses
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 from enum import Enum
@@ -82,6 +82,16 @@ class Codecs:
         return None if value is None else self._by_name[name].decode(value)
 
 
+def decoded(rows: Iterable[Any], make: Callable[..., Any], codecs: Codecs | None = None, kinds: dict[str, str] | None = None) -> Iterator[Any]:
+    """Objects of rows: the reverse of :func:`documents`. Fields that ``make``,
+    if it is a dataclass, doesn't have are left out."""
+    codecs, kinds = codecs or Codecs(), kinds or {}
+    wanted = {f.name for f in dataclasses.fields(make)} if dataclasses.is_dataclass(make) else None
+    for r in rows:
+        values = r.asDict(recursive=True)
+        yield make(**{k: codecs.decode(kinds[k], v) if k in kinds else v for k, v in values.items() if wanted is None or k in wanted})
+
+
 def documents(spark: SparkSession, objects: Iterable[Any], schema: str, codecs: Codecs | None = None) -> DataFrame:
     """Dataclass instances or dicts as rows of ``schema``."""
     codecs = codecs or Codecs()

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,6 +44,27 @@ def replay(full: DataFrame, diffs: Sequence[DataFrame], id_: str = "id") -> Data
     return state.select(id_, *(F.col("last")[n].alias(n) for n in names))
 
 
+def merged(old: DataFrame, new: DataFrame, id_: str, version: str) -> DataFrame:
+    """``old`` with the rows of ``new`` (one an id) put in: one full outer join.
+    A row that is put in has the next version, or the first."""
+    names = [c for c in old.columns if c not in (id_, version)]
+    both = old.select(id_, F.col(version).alias("_v"), F.struct(*names).alias("_old")).join(new.select(id_, F.struct(*names).alias("_new")), id_, "full_outer")
+    put = F.col("_new").isNotNull()
+    row = F.when(put, F.col("_new")).otherwise(F.col("_old"))
+    count = F.when(put, F.coalesce("_v", F.lit(0).cast("long")) + 1).otherwise(F.col("_v"))
+    return both.select(id_, *(row[c].alias(c) for c in names), count.alias(version))
+
+
+def without(old: DataFrame, ids: DataFrame, id_: str) -> DataFrame:
+    return old.join(ids.select(id_).distinct(), id_, "left_anti")
+
+
+def assigned(old: DataFrame, condition: Column, assignments: dict[str, Column], version: str) -> DataFrame:
+    """Columns set to expressions of the row where ``condition`` holds."""
+    hit = F.coalesce(condition, F.lit(False))
+    return old.withColumns({c: F.when(hit, e).otherwise(F.col(c)) for c, e in (assignments | {version: F.col(version) + 1}).items()})
+
+
 def last_operations(ops: DataFrame, id_: str = "id") -> DataFrame:
     """Of queued operations (seq, op, id, ...) the last on each id."""
     w = Window.partitionBy(id_).orderBy(F.desc("seq"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import IndexExists, IndexMissing, UnsupportedIndexType
 from ..functions.text import TextConfig
+from ..sources.files import Files
 from .keyindex import KeyIndex
 from .textindex import TextIndex
 
@@ -60,9 +63,27 @@ class Indexes:
     def clear(self) -> None:
         self._by_field.clear()
 
-    def save(self, root: str) -> None:
+    def save(self, root: str, spark: SparkSession | None = None, version: int | None = None) -> list[str]:
+        """Every index, and a list of them that says which version they are of."""
         for name, index in self._by_field.items():
             index.save(f"{root}/{name}.{self.kind(name)}")
+        if spark is not None:
+            files, card = Files(spark), f"{root}/indexes.json"
+            files.delete(card)
+            files.create(card, json.dumps({"version": version, "kinds": {n: self.kind(n) for n in self.fields}}))
+        return self.fields
+
+    def load_all(self, spark: SparkSession, root: str, version: int | None = None) -> list[str]:
+        """The saved indexes, if they are of that version (None: of any)."""
+        files, card = Files(spark), f"{root}/indexes.json"
+        if not files.exists(card):
+            return []
+        saved = json.loads(files.read(card))
+        if version is not None and saved["version"] != version:
+            return []
+        for field, kind in saved["kinds"].items():
+            self.load(spark, root, field, kind)
+        return sorted(saved["kinds"])
 
     def load(self, spark, root: str, field: str, kind: str, config: TextConfig | None = None):
         path = f"{root}/{field}.{kind}"

@@ -30,7 +30,7 @@ class KeyIndex:
             raise UnsupportedIndexType(kind)
         return cls(field, kind, df.select(F.col(field).alias("key"), F.col(id_).alias("id")).filter("key is not null"))
 
-    # conditions -----------------------------------------------------------
+    # conditions
 
     def _sorted(self) -> None:
         if self.kind != "btree":
@@ -46,9 +46,10 @@ class KeyIndex:
         return reduce(lambda a, b: a & b, parts) if parts else F.lit(True)
 
     def ids(self, condition: Column) -> DataFrame:
-        return self.table.filter(condition).select("id").distinct()
+        # a document has one key, so no id comes twice
+        return self.table.filter(condition).select("id")
 
-    # lookups ----------------------------------------------------------------
+    # lookups
 
     def search(self, value: Any) -> DataFrame:
         return self.ids(F.lit(False) if value is None else F.col("key") == F.lit(value))
@@ -71,7 +72,7 @@ class KeyIndex:
     def at_most(self, value) -> DataFrame:
         return self.range_search(high=value, with_high=True)
 
-    # counts, from one pass over the key column ------------------------------------
+    # counts, from one pass over the key column
 
     def count(self, condition: Column) -> int:
         return self.table.filter(condition).count()
@@ -123,7 +124,7 @@ class KeyIndex:
     def entry_count(self) -> int:
         return self.table.count()
 
-    # storage ------------------------------------------------------------------
+    # storage
 
     def save(self, path: str, partitions: int | None = None) -> None:
         t = self.table

@@ -6,8 +6,11 @@ import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..errors import MigrationError
 from ..sources.store import ID, VERSION, Store
@@ -46,6 +49,26 @@ def add_default(name: str, value, source: str, target: str) -> Migration:
     return Migration(source, target, up, lambda df: df.drop(name), f"add {name}")
 
 
+def per_document(change: Callable[[dict], dict], source: str, target: str, back: Callable[[dict], dict] | None = None, schema: str | None = None, note: str = "") -> Migration:
+    """A Python function of a document, for what columns can't express: Arrow
+    batches of rows, no shuffle. ``schema``: of the new documents, if it differs."""
+
+    def over(f):
+        def step(df: DataFrame) -> DataFrame:
+            def run(batches):
+                for b in batches:
+                    rows = [f(r) for r in b.to_pylist()]
+                    yield pa.RecordBatch.from_pylist(rows, schema=want)
+
+            out = T._parse_datatype_string(schema) if schema and f is change else df.schema
+            want = to_arrow_schema(out)
+            return df.mapInArrow(run, out)
+
+        return step
+
+    return Migration(source, target, over(change), over(back) if back else _same, note or "per document")
+
+
 def rename(old: str, new: str, source: str, target: str) -> Migration:
     return Migration(source, target, lambda df: df.withColumnRenamed(old, new), lambda df: df.withColumnRenamed(new, old), f"rename {old} to {new}")
 
@@ -78,20 +101,32 @@ class Migrator:
     def log(self) -> list[dict]:
         return self.store.meta().get("migrations", [])
 
+    def _note(self, entry: dict) -> None:
+        """An entry of the log alone: a new version of the same files."""
+        m = self.store.manifest()
+        log = [*self.log(), entry][-self.history :]
+        self.store._commit(m["version"] + 1, m | {"meta": m["meta"] | {"migrations": log}})
+
     def migrate(self, target: str, dry_run: bool = False) -> DataFrame:
         source = self.version
-        steps = path(self.migrations, source, target)
-        df = self.store.read()
-        began = time.time()
-        for m, up in steps:
-            df = (m.up if up else m.down)(df)
-            if ID not in df.columns:
-                raise MigrationError(f"{m.note or m.target} lost the ids")
-            if not dry_run and not m.check(df):
-                raise MigrationError(f"check failed after {m.note or m.target}")
+        entry = {"from": source, "to": target, "steps": [], "time": time.time()}
+        try:
+            steps = path(self.migrations, source, target)
+            df = self.store.read()
+            for m, up in steps:
+                entry["steps"].append(m.note or m.target)
+                df = (m.up if up else m.down)(df)
+                if ID not in df.columns:
+                    raise MigrationError(f"{m.note or m.target} lost the ids")
+                if not dry_run and not m.check(df):
+                    raise MigrationError(f"check failed after {m.note or m.target}")
+        except Exception as e:
+            if not dry_run:
+                self._note(entry | {"status": "failed", "error": str(e)[:500]})
+            raise
         if dry_run:
             return df
-        entry = {"from": source, "to": target, "steps": [m.note or m.target for m, _ in steps], "time": began, "status": "success" if steps else "skipped"}
+        entry["status"] = "success" if steps else "skipped"
         if VERSION not in df.columns:
             df = df.withColumn(VERSION, F.lit(1).cast("long"))
         meta = {"schema_version": target, "migrations": [*self.log(), entry][-self.history :]}

@@ -6,14 +6,16 @@ few terms of a query come from the driver."""
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TextConfig
+from ..sources.files import Files
 
 
 @dataclass(frozen=True)
@@ -23,6 +25,8 @@ class TextIndex:
     config: TextConfig = field(default_factory=TextConfig)
     #: (id, tokens), if the index isn't a stored one: counts documents unexploded.
     tokens: DataFrame | None = None
+    #: Documents with a term, if that is known.
+    documents: int | None = None
 
     @classmethod
     def build(cls, df: DataFrame, name: str, id_: str = "id", config: TextConfig | None = None) -> TextIndex:
@@ -98,13 +102,18 @@ class TextIndex:
         times = F.create_map(*[F.lit(x) for t, n in weights.items() for x in (t, n)])
         tf = self._of(list(weights)).groupBy("term", "id").agg(F.count("*").alias("tf"))
         df = tf.groupBy("term").agg(F.count("*").alias("df"))
-        some = self.postings if self.tokens is None else self.tokens.filter(F.size("tokens") > 0)
-        total = some.agg(F.count_distinct("id")).scalar()
+        total = self._total()
         rows = tf.join(F.broadcast(df), "term")  # a row per query term
         idf = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.log2(total / F.col("df"))))
         score = F.sum(times[F.col("term")] * (1 + F.log2("tf")) * idf)
         return rows.groupBy("id").agg(score.alias("score")).orderBy(F.desc("score"), "id")
 
+    def _total(self) -> Column:
+        if self.documents is not None:
+            return F.lit(self.documents)
+        some = self.postings if self.tokens is None else self.tokens.filter(F.size("tokens") > 0)
+        return some.agg(F.count_distinct("id")).scalar()
+
     def frequencies(self) -> DataFrame:
         return self.postings.groupBy("term").agg(F.count_distinct("id").alias("df"), F.count("*").alias("cf"))
 
@@ -112,8 +121,19 @@ class TextIndex:
         return self.postings.agg(F.count_distinct("term").alias("terms"), F.count("*").alias("entries"), F.count_distinct("id").alias("documents"))
 
     def save(self, path: str) -> None:
-        self.postings.repartition("term").sortWithinPartitions("term", "id", "pos").write.mode("overwrite").parquet(path)
+        """Postings in the order of terms, so that a term's row groups are found
+        by their limits, and a card with the configuration and the number of
+        documents. A frequent term may be in several files."""
+        spark = self.postings.sparkSession
+        self.postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id", "pos").write.mode("overwrite").parquet(f"{path}/postings")
+        stored = spark.read.parquet(f"{path}/postings")
+        files = Files(spark)
+        files.delete(f"{path}/card.json")
+        files.create(f"{path}/card.json", json.dumps({"config": asdict(self.config), "documents": stored.agg(F.count_distinct("id")).first()[0]}))
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, name: str, config: TextConfig | None = None) -> TextIndex:
-        return cls(name, spark.read.parquet(path), config or TextConfig())
+        """With the configuration it was built with, unless another is given."""
+        card = json.loads(Files(spark).read(f"{path}/card.json"))
+        kept = card["config"] | {"stop_words": tuple(card["config"]["stop_words"])}
+        return cls(name, spark.read.parquet(f"{path}/postings"), config or TextConfig(**kept), documents=card["documents"])

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..errors import DocumentExists, DocumentNotFound, TransactionConflict, TransactionError
 from ..sources.store import ID, VERSION, Store
-from .changes import conflicts, last_operations, overlay
+from .changes import conflicts, last_operations, merged, overlay
 
 
 class Isolation(Enum):
@@ -33,7 +33,6 @@ class Transaction:
         self.store, self.isolation, self.base = store, isolation, store.latest()
         self.state, self._rows, self._read = "active", [], set()
         schema = store.read(self.base).schema
-        self._names = [f.name for f in schema if f.name not in (ID, VERSION)]
         self._schema = T.StructType([T.StructField("seq", T.LongType()), T.StructField("op", T.StringType()), *(f for f in schema if f.name != VERSION)])
 
     def _queue(self, op: str, id_: str, doc: dict | None = None) -> None:
@@ -109,13 +108,9 @@ class Transaction:
         n = self.store.manifest(base)["buckets"]
         touched = self.store._touched(last, n)
         old = self.store._in(base, touched)
-        puts = last.filter("op <> 'delete'").select(ID, F.struct(*self._names).alias("_new"))
-        both = old.join(last.select(ID, "op"), ID, "left").filter("op is null or op <> 'delete'").drop("op")
-        merged = both.select(ID, VERSION, F.struct(*self._names).alias("_old")).join(puts, ID, "full_outer")
-        new = F.col("_new").isNotNull()
-        row = F.when(new, F.col("_new")).otherwise(F.col("_old"))
-        rows = merged.select(ID, *(row[c].alias(c) for c in self._names), F.when(new, F.coalesce(VERSION, F.lit(0)) + 1).otherwise(F.col(VERSION)).alias(VERSION))
-        return self.store._write(base, rows, touched)
+        kept = old.join(last.filter("op = 'delete'").select(ID), ID, "left_anti")
+        rows = merged(kept, last.filter("op <> 'delete'").drop("seq", "op"), ID, VERSION)
+        return self.store._write(base, rows, touched, expect=self.store._held(base, touched) + len(self._rows))
 
     def rollback(self) -> None:
         if self.state == "active":

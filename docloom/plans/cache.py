@@ -1,7 +1,8 @@
-"""Results kept by predicate and table version.
+"""Results kept by table, predicate and the table's version.
 
-The key holds the version of the table, so a write can't leave a stale result
-behind; what is kept is a persisted DataFrame, not rows on the driver."""
+The key holds which table it is and its version, so a write can't leave a stale
+result behind and collections may share a cache; what is kept is a persisted
+DataFrame, not rows on the driver."""
 
 from __future__ import annotations
 
@@ -41,8 +42,8 @@ class ResultCache:
     def _drop(self, key: tuple) -> None:
         self._kept.pop(key)[1].unpersist()
 
-    def get(self, p: Predicate, version: object = None) -> DataFrame | None:
-        key = (p.key(), version)
+    def get(self, p: Predicate, version: object = None, table: object = None) -> DataFrame | None:
+        key = (p.key(), version, table)
         held = self._kept.get(key)
         if not self.enabled or held is None:
             self.statistics.misses += 1
@@ -56,10 +57,10 @@ class ResultCache:
         self.statistics.hits += 1
         return held[1]
 
-    def put(self, p: Predicate, df: DataFrame, version: object = None) -> DataFrame:
+    def put(self, p: Predicate, df: DataFrame, version: object = None, table: object = None) -> DataFrame:
         if not self.enabled:
             return df
-        key = (p.key(), version)
+        key = (p.key(), version, table)
         if key in self._kept:
             self._drop(key)
         while len(self._kept) >= self.most:
@@ -68,9 +69,9 @@ class ResultCache:
         self._kept[key] = (self.clock(), df.persist(), frozenset(p.referenced()))
         return df
 
-    def get_or(self, p: Predicate, make: Callable[[], DataFrame], version: object = None) -> DataFrame:
-        found = self.get(p, version)
-        return found if found is not None else self.put(p, make(), version)
+    def get_or(self, p: Predicate, make: Callable[[], DataFrame], version: object = None, table: object = None) -> DataFrame:
+        found = self.get(p, version, table)
+        return found if found is not None else self.put(p, make(), version, table)
 
     def __contains__(self, p: Predicate) -> bool:
         return any(k[0] == p.key() for k in self._kept)
@@ -88,6 +89,9 @@ class ResultCache:
     def invalidate(self, p: Predicate) -> int:
         return self._invalidate(lambda k, v: k[0] == p.key())
 
+    def invalidate_table(self, table: object) -> int:
+        return self._invalidate(lambda k, v: k[2] == table)
+
     def invalidate_fields(self, *names: str) -> int:
         """Also predicates that read no field, as any write may change them."""
         return self._invalidate(lambda k, v: not v[2] or v[2] & set(names))

@@ -123,7 +123,7 @@ class Compiler:
     def column(self, p: P.Predicate, negated: bool = False) -> Column:
         return getattr(self, "_" + type(p).__name__)(p, negated)
 
-    # leaves ---------------------------------------------------------------
+    # leaves
 
     def _leaf(self, f: Field, value: Any, negated: bool, yes: Callable, no: Callable, same: bool = False) -> Column:
         found = f.typed(value)
@@ -222,7 +222,7 @@ class Compiler:
     def _IsNotNull(self, p, negated):
         return self._is_null(self.field(p.field), not negated)
 
-    # strings --------------------------------------------------------------
+    # strings
 
     def _string(self, name: str, negated: bool, form: Callable[[Column], Column]) -> Column:
         found = self.field(name).typed("")
@@ -257,7 +257,7 @@ class Compiler:
     def _EndsWith(self, p, negated):
         return self._string(p.field, negated, lambda c: folded(c, p.case).endswith(p.suffix if p.case else p.suffix.lower()))
 
-    # full text by scan ------------------------------------------------------
+    # full text by scan
 
     def _parts(self, p, negated, needles, join):
         if not needles:
@@ -286,7 +286,7 @@ class Compiler:
         terms = list(dict.fromkeys(p.terms if p.case else [t.lower() for t in p.terms]))
         return self._string(p.field, negated, lambda c: within(split_tokens(folded(c, p.case)), terms, p.distance))
 
-    # boolean ----------------------------------------------------------------
+    # boolean
 
     def _And(self, p, negated):
         return reduce(lambda a, b: a | b if negated else a & b, [self.column(x, negated) for x in p.parts])
@@ -302,22 +302,23 @@ def _hashable(v: Any):
     return repr(v) if isinstance(v, (list, dict, set, bytearray)) else (type(v) is bool, v)
 
 
-def positions(tokens: Column, term: str) -> Column:
-    """The places of ``term`` in an array of tokens."""
-    return F.filter(F.transform(tokens, lambda x, i: F.when(x == F.lit(term), i)), lambda x: x.isNotNull())
-
-
 def within(tokens: Column, terms: list[str], distance: int) -> Column:
     """Whether all terms occur with at most ``distance`` between the first and
-    the last. Tokens and position lists are bound as lambda variables, so that
-    they are computed once, and not once per element."""
+    the last: one pass over the hits, that keeps the latest place of every term.
+    Tokens are bound as a lambda variable, so that they are computed once."""
+    never = -(1 << 30)
+    known = F.array(*map(F.lit, terms))
+
+    def step(state: Column, hit: Column) -> Column:
+        latest = F.transform(state["latest"], lambda v, k: F.when(k + 1 == hit["term"], hit["at"]).otherwise(v))
+        return F.transform(F.array(latest), lambda x: F.struct(x.alias("latest"), (state["found"] | (hit["at"] - F.array_min(x) <= distance)).alias("found")))[0]
 
-    def near(lists: Column) -> Column:
-        reaches = lambda p: F.forall(lists, lambda q: F.exists(q, lambda z: z.between(p, p + distance)))
-        return F.exists(F.flatten(lists), reaches)
+    def near(t: Column) -> Column:
+        hits = F.filter(F.transform(t, lambda x, i: F.struct(i.alias("at"), F.array_position(known, x).cast("int").alias("term"))), lambda h: h["term"] > 0)
+        start = F.struct(F.array_repeat(F.lit(never), len(terms)).alias("latest"), F.lit(False).alias("found"))
+        return F.aggregate(hits, start, step)["found"]
 
-    lists = F.transform(F.array(tokens), lambda t: F.array(*(positions(t, x) for x in terms)))
-    return F.transform(lists, near)[0]
+    return F.transform(F.array(tokens), near)[0]
 
 
 def compile_predicate(p: P.Predicate, target: DataFrame | T.StructType, variant: str | None = None) -> Column:

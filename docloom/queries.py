@@ -16,9 +16,13 @@ from .operators import access, changes, migrations
 from .operators.collection import Collection, count_where, exists_where, find
 from .operators.keyindex import KeyIndex
 from .operators.textindex import TextIndex
+from .operators.transactions import Isolation, Transactions
 from .plans import predicates as P
 from .plans.builder import Where
+from .sources.scratch import fresh_folder
+from .sources.snapshots import Snapshots
 from .sources.spread import spread
+from .sources.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,7 +64,7 @@ def predicate(name: str, source: str, columns: str, p: P.Predicate | Where, wher
 
 EVENT, ORDER, PART, NULLABLE = "event_id, event_type, value", "o_orderkey, o_orderstatus, o_totalprice", "p_partkey, p_name, p_type, p_size", "doc_id, lang, quality, toxic"
 
-# boolean ------------------------------------------------------------------
+# boolean
 predicate("find_and", "events", EVENT, Where().equals("event_type", "purchase").greater("value", 50.0), "event_type = 'purchase' AND value > 50")
 predicate("find_or", "orders", ORDER, Where().equals("o_orderstatus", "F").or_(P.Greater("o_totalprice", 400000.0)), "o_orderstatus = 'F' OR o_totalprice > 400000")
 predicate("find_or_all", "orders", ORDER, Where().or_all([P.Equals("o_orderstatus", "P"), P.Less("o_totalprice", 5000.0), P.Greater("o_totalprice", 450000.0)]), "o_orderstatus = 'P' OR o_totalprice < 5000 OR o_totalprice > 450000")
@@ -70,7 +74,7 @@ predicate("not_and", "docl", NULLABLE, ~(P.Equals("quality", 1) & P.Equals("lang
 predicate("not_or", "docl", NULLABLE, ~(P.Equals("quality", 1) | P.Equals("toxic", 1)), "NOT (coalesce(quality = 1, false) OR coalesce(toxic = 1, false))")
 predicate("not_not", "docl", NULLABLE, ~~P.Equals("quality", 1), "quality = 1")
 
-# comparison ---------------------------------------------------------------
+# comparison
 predicate("eq", "part", PART, P.Equals("p_type", "PROMO"), "p_type = 'PROMO'")
 predicate("neq", "part", PART, P.NotEquals("p_type", "PROMO"), "p_type IS DISTINCT FROM 'PROMO'")
 predicate("neq_null", "docl", NULLABLE, P.NotEquals("quality", 1), "quality IS DISTINCT FROM 1")
@@ -86,7 +90,7 @@ for _n, _a, _b, _w in (("ii", True, True, "p_size >= 10 AND p_size <= 20"), ("ie
 predicate("not_between", "docl", NULLABLE, ~P.Between("quality", 1, 2), "quality IS NULL OR NOT (quality BETWEEN 1 AND 2)")
 predicate("type_mismatch", "part", PART, P.Equals("p_type", "PROMO") & ~P.Greater("p_type", 5), "p_type = 'PROMO'")
 
-# membership and null ------------------------------------------------------
+# membership and null
 predicate("in", "part", PART, P.In("p_type", ("PROMO", "SMALL", "SMALL")), "p_type IN ('PROMO', 'SMALL')")
 predicate("not_in", "part", PART, P.NotIn("p_type", ("PROMO", "SMALL")), "p_type NOT IN ('PROMO', 'SMALL')")
 predicate("in_null", "docl", NULLABLE, P.In("quality", (0, None)), "quality = 0 OR quality IS NULL")
@@ -122,7 +126,7 @@ def nested_struct(spark, sf_dir):
     return find(c, Where().equals("profile.c_mktsegment", "BUILDING").less("profile.c_nationkey", 10)).select("c_custkey", "c_name")
 
 
-# strings ------------------------------------------------------------------
+# strings
 predicate("contains_str", "part", PART, P.Contains("p_name", "re"), "contains(p_name, 're')")
 predicate("contains_ci", "part", PART, P.Contains("p_name", "RE", False), "contains(lower(p_name), 're')")
 predicate("not_contains", "part", PART, ~P.Contains("p_name", "a"), "p_name IS NULL OR NOT contains(p_name, 'a')")
@@ -141,7 +145,7 @@ def contains_list(spark, sf_dir):
     return find(p.withColumn("tags", F.split("p_name", " ")), P.Contains("tags", word)).select("p_partkey", "p_name")
 
 
-# full text by scan --------------------------------------------------------
+# full text by scan
 TEXT = "doc_id, lang"
 predicate("ft_scan_all", "documents", TEXT, P.TextAll("text", "The, that!"), "contains(lower(text), 'the') AND contains(lower(text), 'that')")
 predicate("ft_scan_any", "documents", TEXT, P.TextAny("text", ("quees", "that")), "contains(lower(text), 'quees') OR contains(lower(text), 'that')")
@@ -162,7 +166,7 @@ def ft_scan_proximity(spark, sf_dir):
     return find(spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")), P.TextNear("text", ("the", "of", "and"), 4)).select("doc_id", "lang")
 
 
-# the inverted index -------------------------------------------------------
+# the inverted index
 def text_index(spark: SparkSession, sf_dir: str, config: TextConfig | None = None) -> TextIndex:
     return TextIndex.build(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text", "doc_id", config)
 
@@ -197,7 +201,7 @@ register("ft_index_ranked", _RANKED)(lambda s, d: text_index(s, d).ranked("tion
 register("ft_index_exact", r"""WITH p AS (SELECT doc_id AS id, unnest(list_filter(string_split_regex(text, '[\s\p{P}]+'), lambda t: len(t) BETWEEN 1 AND 100)) AS term FROM documents)
 SELECT DISTINCT id FROM p WHERE term = 'The'""")(lambda s, d: text_index(s, d, TextConfig.exact()).search_all(["The"]))
 
-# counts, existence, key indexes -------------------------------------------
+# counts, existence, key indexes
 register("count_where", "SELECT count(*) AS n FROM lineitem WHERE l_quantity > 25 AND l_returnflag = 'R'")(lambda s, d: count_where(table(s, d, "lineitem"), Where().greater("l_quantity", 25.0).equals("l_returnflag", "R")))
 register("count_all", "SELECT count(*) AS n FROM lineitem")(lambda s, d: count_where(table(s, d, "lineitem")))
 register("exists_where", "SELECT count(*) > 0 AS found FROM lineitem WHERE l_quantity > 49")(lambda s, d: exists_where(table(s, d, "lineitem"), P.Greater("l_quantity", 49.0)))
@@ -242,7 +246,7 @@ def get_many(spark, sf_dir):
 register("get_one", "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey = 7")(lambda s, d: find(table(s, d, "customer"), P.Equals("c_custkey", 7)).limit(1).select("c_custkey", "c_name", "c_acctbal"))
 
 
-# changes ------------------------------------------------------------------
+# changes
 def customers(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_name", "c_acctbal", F.lit(1).cast("long").alias("__version"))
 
@@ -263,21 +267,16 @@ _EDITS = """(SELECT c_custkey AS id, c_name, c_acctbal + 100 AS c_acctbal FROM c
   round(CASE WHEN e.id IS NULL THEN c.c_acctbal ELSE e.c_acctbal END, 2) AS c_acctbal, (CASE WHEN e.id IS NOT NULL AND c.c_custkey IS NOT NULL THEN 2 ELSE 1 END)::BIGINT AS __version
   FROM customer c FULL OUTER JOIN {_EDITS} e ON c.c_custkey = e.id""")
 def dml_upsert(spark, sf_dir):
-    old, new = customers(spark, sf_dir), edited(spark, sf_dir)
-    names = ["c_name", "c_acctbal"]
-    both = old.select("id", F.col("__version").alias("_v"), F.struct(*names).alias("_o")).join(new.select("id", F.struct(*names).alias("_n")), "id", "full_outer")
-    row = F.when(F.col("_n").isNotNull(), F.col("_n")).otherwise(F.col("_o"))
-    version = F.when(F.col("_n").isNotNull(), F.coalesce("_v", F.lit(0)) + 1).otherwise(F.col("_v")).cast("long")
-    return both.select("id", row["c_name"].alias("c_name"), F.round(row["c_acctbal"], 2).alias("c_acctbal"), version.alias("__version"))
+    return changes.merged(customers(spark, sf_dir), edited(spark, sf_dir), "id", "__version").withColumn("c_acctbal", F.round("c_acctbal", 2))
 
 
-register("dml_delete", f"SELECT c_custkey AS id, c_name FROM customer WHERE c_custkey NOT IN (SELECT id FROM {_EDITS})")(lambda s, d: customers(s, d).join(edited(s, d).select("id"), "id", "left_anti").select("id", "c_name"))
+register("dml_delete", f"SELECT c_custkey AS id, c_name FROM customer WHERE c_custkey NOT IN (SELECT id FROM {_EDITS})")(lambda s, d: changes.without(customers(s, d), edited(s, d), "id").select("id", "c_name"))
 
 
 @register("dml_update_version", "SELECT c_custkey AS id, round(CASE WHEN c_acctbal < 0 THEN 0 ELSE c_acctbal END, 2) AS c_acctbal, (CASE WHEN c_acctbal < 0 THEN 2 ELSE 1 END)::BIGINT AS __version FROM customer")
 def dml_update_version(spark, sf_dir):
-    low = F.col("c_acctbal") < 0
-    return customers(spark, sf_dir).select("id", F.round(F.when(low, F.lit(0.0)).otherwise(F.col("c_acctbal")), 2).alias("c_acctbal"), F.when(low, F.col("__version") + 1).otherwise(F.col("__version")).alias("__version"))
+    changed = changes.assigned(customers(spark, sf_dir), F.col("c_acctbal") < 0, {"c_acctbal": F.lit(0.0)}, "__version")
+    return changed.select("id", F.round("c_acctbal", 2).alias("c_acctbal"), "__version")
 
 
 @register("txn_snapshot_view", f"""WITH ops AS (SELECT 1 AS seq, 'upsert' AS op, * FROM {_EDITS} UNION ALL SELECT 2, 'delete', id, NULL, NULL FROM {_EDITS} WHERE id % 20 = 0),
@@ -325,7 +324,147 @@ def restore_chain(spark, sf_dir):
     return changes.replay(full, [changes.changes(full, one), changes.changes(one, two)]).withColumn("o_totalprice", F.round("o_totalprice", 2))
 
 
-# migrations ---------------------------------------------------------------
+# stores, saved indexes, snapshots
+def stored(spark, sf_dir, **how) -> Collection:
+    """A collection over a new store of all customers."""
+    c = customers(spark, sf_dir).drop("__version").withColumn("id", F.col("id").cast("string"))
+    kept = Collection(Store(spark, fresh_folder(spark, "customers"), c.schema, **how))
+    kept.insert(c)
+    return kept
+
+
+def named(df: DataFrame) -> DataFrame:
+    return df.withColumn("id", F.col("id").cast("string"))
+
+
+_CUSTOMERS = "(SELECT c_custkey::VARCHAR AS id, c_name, round(c_acctbal, 2) AS c_acctbal FROM customer)"
+
+
+@register("store_upsert", f"""SELECT coalesce(e.id, c.c_custkey)::VARCHAR AS id, CASE WHEN e.id IS NULL THEN c.c_name ELSE e.c_name END AS c_name,
+  round(CASE WHEN e.id IS NULL THEN c.c_acctbal ELSE e.c_acctbal END, 2) AS c_acctbal, (CASE WHEN e.id IS NOT NULL AND c.c_custkey IS NOT NULL THEN 2 ELSE 1 END)::BIGINT AS __version
+  FROM customer c FULL OUTER JOIN {_EDITS} e ON c.c_custkey = e.id""")
+def store_upsert(spark, sf_dir):
+    """Insert and upsert as two commits of a store that outgrows its buckets."""
+    c = stored(spark, sf_dir, buckets=2, bucket_rows=1000)
+    c.upsert(named(edited(spark, sf_dir)))
+    return c.df.withColumn("c_acctbal", F.round("c_acctbal", 2))
+
+
+@register("store_update", "SELECT c_custkey::VARCHAR AS id, CASE WHEN c_custkey % 10 = 0 THEN upper(c_name) ELSE c_name END AS c_name, (CASE WHEN c_custkey % 10 = 0 THEN 2 ELSE 1 END)::BIGINT AS __version FROM customer")
+def store_update(spark, sf_dir):
+    """With the version that was read: nobody may have written since."""
+    c = stored(spark, sf_dir)
+    c.update(c.df.filter("cast(id as long) % 10 = 0").withColumn("c_name", F.upper("c_name")))
+    return c.df.select("id", "c_name", "__version")
+
+
+@register("store_update_where", "SELECT c_custkey::VARCHAR AS id, round(CASE WHEN c_acctbal < 0 THEN 0 ELSE c_acctbal END, 2) AS c_acctbal, (CASE WHEN c_acctbal < 0 THEN 2 ELSE 1 END)::BIGINT AS __version FROM customer")
+def store_update_where(spark, sf_dir):
+    c = stored(spark, sf_dir)
+    c.update_where(P.Less("c_acctbal", 0.0), {"c_acctbal": F.lit(0.0)})
+    return c.df.select("id", F.round("c_acctbal", 2).alias("c_acctbal"), "__version")
+
+
+@register("store_delete", f"SELECT id, c_name FROM {_CUSTOMERS} WHERE id::BIGINT NOT IN (SELECT id FROM {_EDITS})")
+def store_delete(spark, sf_dir):
+    c = stored(spark, sf_dir)
+    c._store().delete(named(edited(spark, sf_dir)).select("id"))
+    return c.df.select("id", "c_name")
+
+
+register("store_delete_where", f"SELECT id FROM {_CUSTOMERS} WHERE c_acctbal >= 0")(lambda s, d: _deleted_where(stored(s, d)))
+
+
+def _deleted_where(c: Collection) -> DataFrame:
+    c.delete_where(P.Less("c_acctbal", 0.0))
+    return c.df.select("id")
+
+
+@register("store_get", "SELECT c_custkey::VARCHAR AS id, c_name, round(c_acctbal, 2) AS c_acctbal FROM customer WHERE c_custkey = 7")
+def store_get(spark, sf_dir):
+    """From the files of one bucket."""
+    return stored(spark, sf_dir).source.get("7").select("id", "c_name", F.round("c_acctbal", 2).alias("c_acctbal"))
+
+
+@register("store_counts", "SELECT count(*) AS n, count(*) FILTER (c_acctbal > 5000) AS rich, count(*) FILTER (c_custkey = 7) > 0 AS found, count(*) FILTER (c_acctbal > 1e12) > 0 AS beyond FROM customer")
+def store_counts(spark, sf_dir):
+    """The manifest's count, and counts and existence by an index."""
+    c = stored(spark, sf_dir)
+    c.create_index("c_acctbal")
+    row = (len(c), c.count_where(P.Greater("c_acctbal", 5000.0)), c.exists("7"), c.exists_where(P.Greater("c_acctbal", 1e12)))
+    return spark.createDataFrame([row], "n long, rich long, found boolean, beyond boolean")
+
+
+@register("store_versions", "SELECT c_custkey::VARCHAR AS id FROM customer")
+def store_versions(spark, sf_dir):
+    """An old version, restored after everything was deleted."""
+    c = stored(spark, sf_dir)
+    before = c.version
+    c.delete_all()
+    c.source.restore(before)
+    return c.df.select("id")
+
+
+@register("txn_commit", f"""SELECT id, CASE WHEN id = '1' THEN 'First' ELSE c_name END AS c_name, (CASE WHEN id = '1' THEN 2 ELSE 1 END)::BIGINT AS __version FROM {_CUSTOMERS} WHERE id <> '2'
+  UNION ALL SELECT 'new', 'Newcomer', 1::BIGINT""")
+def txn_commit(spark, sf_dir):
+    c = stored(spark, sf_dir)
+    with Transactions(c.source).scope(Isolation.SERIALIZABLE) as t:
+        t.update("1", {"c_name": "First", "c_acctbal": 1.0})
+        t.delete("2")
+        t.insert("new", {"c_name": "Newcomer", "c_acctbal": 0.0})
+    return c.df.select("id", "c_name", "__version")
+
+
+@register("snapshot_chain", f"SELECT id, o_orderstatus, round(o_totalprice, 2) AS o_totalprice FROM {_S2}")
+def snapshot_chain(spark, sf_dir):
+    """A full snapshot and two incremental ones, written, verified, replayed."""
+    full = base_orders(spark, sf_dir)
+    one = step(full, 97, 89, 1.0)
+    kept = Snapshots(spark, fresh_folder(spark, "snapshots"))
+    first = kept.full(full)["name"]
+    second = kept.incremental(one, first)["name"]
+    third = kept.incremental(step(one, 53, 61, 2.0), second)["name"]
+    assert all(map(kept.verify, (first, second, third)))
+    return kept.restore([first, second, third]).withColumn("o_totalprice", F.round("o_totalprice", 2))
+
+
+@register("index_saved_range", "SELECT o_orderkey AS id FROM orders WHERE o_totalprice >= 100000 AND o_totalprice < 150000")
+def index_saved_range(spark, sf_dir):
+    """From a saved index: files in key order, whose limits prune."""
+    path = fresh_folder(spark, "index")
+    key_index(spark, sf_dir, "o_totalprice").save(path)
+    return KeyIndex.load(spark, path, "o_totalprice", "btree").range_search(100000.0, 150000.0)
+
+
+_saved: dict[tuple[str, str, TextConfig], str] = {}
+
+
+def saved_text_index(spark, sf_dir, config: TextConfig | None = None) -> TextIndex:
+    """Built and saved once a session."""
+    key = spark.sparkContext.applicationId, sf_dir, config or TextConfig()
+    if key not in _saved:
+        _saved[key] = fresh_folder(spark, "postings")
+        text_index(spark, sf_dir, config).save(_saved[key])
+    return TextIndex.load(spark, _saved[key], "text")
+
+
+register("ft_saved_ranked", _RANKED)(lambda s, d: saved_text_index(s, d).ranked("tion en der the tion").select("id", F.round("score", 6).alias("score")))
+register("ft_saved_phrase", ORACLES["ft_index_phrase"])(lambda s, d: saved_text_index(s, d).search_phrase("thanedble the anea"))
+register("ft_saved_exact", ORACLES["ft_index_exact"])(lambda s, d: saved_text_index(s, d, TextConfig.exact()).search_all(["The"]))
+
+
+@register("store_migrate", f"SELECT id, c_name AS title, c_acctbal, 'none' AS email FROM {_CUSTOMERS}")
+def store_migrate(spark, sf_dir):
+    """Two steps as one commit."""
+    c = stored(spark, sf_dir)
+    steps = [migrations.rename("c_name", "title", "1.0.0", "1.1.0"), migrations.add_default("email", "none", "1.1.0", "1.2.0")]
+    c.source.replace(c.df, {"schema_version": "1.0.0"})
+    migrations.Migrator(c.source, steps).migrate("1.2.0")
+    return c.df.select("id", "title", F.round("c_acctbal", 2).alias("c_acctbal"), "email")
+
+
+# migrations
 def suppliers(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), "s_name", F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("balance"))
 
@@ -343,7 +482,7 @@ def migrate_peers(spark, sf_dir):
     return s.withColumn("peers", s.agg(F.count("*") - 1).scalar())
 
 
-# access -------------------------------------------------------------------
+# access
 @register("rbac_closure", """WITH RECURSIVE r(name, parent) AS (VALUES ('admin', 'user'), ('transaction_manager', 'user'), ('user', 'guest')),
 names(n) AS (VALUES ('super_admin'), ('admin'), ('transaction_manager'), ('user'), ('guest')),
 c(role, reaches) AS (SELECT n, n FROM names UNION SELECT c.role, r.parent FROM c JOIN r ON c.reaches = r.name)
@@ -352,7 +491,16 @@ def rbac_closure(spark, sf_dir):
     return access.closure(spark.createDataFrame(access.seed_roles(), access.ROLE_SCHEMA))
 
 
-# beyond the document model ------------------------------------------------
+@register("rbac_checks", """SELECT * FROM (VALUES ('ann', 'entity:delete', true), ('ann', 'user:delete', true), ('ann', 'system:read', false), ('bob', 'entity:create', true),
+  ('bob', 'entity:admin', false), ('bob', 'collection:read', true), ('eve', 'entity:read', false)) AS v("user", permission, granted)""")
+def rbac_checks(spark, sf_dir):
+    roles = spark.createDataFrame(access.seed_roles(), access.ROLE_SCHEMA)
+    users = spark.createDataFrame([("ann", "admin"), ("bob", "user")], "user string, role string")
+    asked = [("ann", "entity:delete"), ("ann", "user:delete"), ("ann", "system:read"), ("bob", "entity:create"), ("bob", "entity:admin"), ("bob", "collection:read"), ("eve", "entity:read")]
+    return access.checked(users, roles, spark.createDataFrame(asked, "user string, permission string"))
+
+
+# beyond the document model
 register("ext_topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")(lambda s, d: table(s, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20).select("o_orderkey", "o_totalprice"))
 register("ext_project", "SELECT o_orderkey, round(o_totalprice * 2, 2) AS doubled FROM orders WHERE o_orderstatus = 'P'")(lambda s, d: find(table(s, d, "orders"), P.Equals("o_orderstatus", "P")).select("o_orderkey", F.round(F.col("o_totalprice") * 2, 2).alias("doubled")))
 register("ext_group", "SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem WHERE l_discount > 0.05 GROUP BY l_returnflag")(

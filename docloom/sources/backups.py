@@ -57,13 +57,13 @@ class Migrations:
         self.migrators = migrators
 
     def migrate(self, target: str) -> dict[str, str]:
-        before = {n: m.store.latest() for n, m in self.migrators.items()}
+        before = {n: (m.store.latest(), m.version) for n, m in self.migrators.items()}
         try:
             for m in self.migrators.values():
                 m.migrate(target)
         except Exception:
             for n, m in self.migrators.items():
-                if m.store.latest() != before[n]:
-                    m.store.restore(before[n])
+                if m.version != before[n][1]:
+                    m.store.restore(before[n][0])
             raise
         return {n: m.version for n, m in self.migrators.items()}

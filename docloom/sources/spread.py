@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+#: No table above this size is shuffled for it.
+SPREAD_BYTES = 256 << 20
+
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df``, repartitioned if it is read from fewer files than there are cores
-    and in only a few splits: a file of one row group is one task, whatever its
-    splits say. Large tables have more of either and are left as they are."""
+    """``df``, repartitioned if it is small, and read from fewer files than
+    there are cores and in only a few splits: a file of one row group is one
+    task, whatever its splits say. Anything larger is left as it is, as it has
+    more of either, or isn't worth a shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() > 4 * cores or len(df.inputFiles()) >= cores:
         return df
-    return df.repartition(cores)
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size <= SPREAD_BYTES else df

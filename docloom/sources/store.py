@@ -1,6 +1,8 @@
 """A versioned document store on Parquet.
 
-Rows are hashed by id into a fixed number of buckets. A write makes new files
+Rows are hashed by id into buckets, whose number grows with the table: a write
+to a store with more than ``BUCKET_ROWS`` rows a bucket spreads it over more. A
+large bucket is several files, written by as many tasks. A write makes new files
 for the buckets it touches only, and then a manifest that names the files of
 every bucket; creating the manifest of the next number is the commit, and fails
 if somebody else made it first. Versions are immutable, so readers and
@@ -12,31 +14,39 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import DocumentExists, DocumentNotFound, StorageError, VersionConflict
+from ..operators.changes import assigned, merged, without
 from .files import Files
 
 VERSION = "__version"
 ID = "id"
+#: Rows to a bucket before there are more buckets, and to a file of one.
+BUCKET_ROWS = 1 << 22
+FILE_ROWS = 1 << 19
+SEALED = "_sealed"
+STAMP, STAMP_NTZ = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType | None = None, buckets: int = 8, compression: str = "zstd"):
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType | None = None, buckets: int = 8, compression: str = "zstd", bucket_rows: int = BUCKET_ROWS, key: bytes | None = None):
+        """``key`` (16, 24 or 32 bytes): a new store is encrypted with it."""
         self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark)
-        self.compression = compression
+        self.compression, self.bucket_rows, self.key = compression, bucket_rows, key
         newest = self.latest()
         if newest is None:
             if schema is None:
                 raise StorageError(f"no store in {root}")
             full = T.StructType([f for f in schema if f.name != VERSION]).add(VERSION, T.LongType())
-            self._commit(0, {"schema": full.json(), "buckets": buckets, "files": {}, "counts": {}, "rows": 0, "meta": {}})
+            self._commit(0, {"schema": full.json(), "buckets": buckets, "files": {}, "counts": {}, "rows": 0, "meta": {}, "sealed": key is not None})
 
-    # manifests ------------------------------------------------------------
+    # manifests
 
     def _name(self, version: int) -> str:
         return f"{self.root}/manifest/{version:012d}.json"
@@ -56,13 +66,11 @@ class Store:
             raise VersionConflict(f"version {version} of {self.root} exists")
         return version
 
-    # reading ------------------------------------------------------------------
+    # reading
 
     def read(self, version: int | None = None) -> DataFrame:
         m = self.manifest(version)
-        schema = T.StructType.fromJson(json.loads(m["schema"]))
-        paths = [f"{self.root}/data/{p}" for p in sorted(set(m["files"].values()))]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return self._open(m, sorted(set(m["files"].values())))
 
     def count(self, version: int | None = None) -> int:
         """From the manifest; no scan."""
@@ -75,26 +83,60 @@ class Store:
         """The files of one bucket at most are opened, and pruned by id."""
         m = self.manifest()
         b = self.spark.sql("select pmod(xxhash64(:i), :n) as b", {"i": id_, "n": m["buckets"]}).first()[0]
-        path = m["files"].get(str(b))
-        schema = T.StructType.fromJson(json.loads(m["schema"]))
-        df = self.spark.read.schema(schema).parquet(f"{self.root}/data/{path}") if path else self.spark.createDataFrame([], schema)
-        return df.filter(F.col(ID) == id_)
+        return self._open(m, [m["files"][str(b)]] if str(b) in m["files"] else []).filter(F.col(ID) == id_)
 
-    # writing ------------------------------------------------------------------
+    def _open(self, m: dict, parts: Sequence[str]) -> DataFrame:
+        """Some of a version's files. Rows of an encrypted store are opened as
+        they are read; one that was tampered with is an error."""
+        schema = T.StructType.fromJson(json.loads(m["schema"]))
+        paths = [f"{self.root}/data/{p}" for p in parts]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        if not m.get("sealed"):
+            return self.spark.read.schema(schema).parquet(*paths)
+        if self.key is None:
+            raise StorageError(f"{self.root} is encrypted")
+        kept = T.StructType([schema[ID], T.StructField(SEALED, T.BinaryType()), schema[VERSION]])
+        names = T.StructType([f for f in schema if f.name not in (ID, VERSION)])
+        opened = F.aes_decrypt(F.col(SEALED), F.lit(self.key), F.lit("GCM"), F.lit("DEFAULT"), F.col(ID).cast("string").cast("binary")).cast("string")
+        df = self.spark.read.schema(kept).parquet(*paths).withColumn(SEALED, F.from_json(opened, names, {"timestampFormat": STAMP, "timestampNTZFormat": STAMP_NTZ}))
+        return df.select(*(F.col(f.name) if f.name in (ID, VERSION) else F.col(SEALED)[f.name].alias(f.name) for f in schema))
+
+    def _sealed(self, df: DataFrame) -> DataFrame:
+        """(id, the other columns as AES-GCM of their JSON, bound to the id,
+        version)."""
+        names = [c for c in df.columns if c not in (ID, VERSION)]
+        text = F.to_json(F.struct(*names), {"timestampFormat": STAMP, "timestampNTZFormat": STAMP_NTZ}).cast("binary")
+        sealed = F.aes_encrypt(text, F.lit(self.key), F.lit("GCM"), F.lit("DEFAULT"), F.lit(b""), F.col(ID).cast("string").cast("binary"))
+        return df.select(ID, sealed.alias(SEALED), VERSION)
+
+    # writing
 
     def _bucket(self, n: int):
         return F.pmod(F.xxhash64(ID), F.lit(n)).cast("int")
 
-    def _write(self, base: int, rows: DataFrame, touched: Sequence[int] | None, meta: dict | None = None, schema: T.StructType | None = None) -> int:
-        """Commits ``rows`` as the new contents of the buckets ``touched``."""
+    def _buckets_for(self, rows: int, now: int) -> int:
+        """Twice as many until they hold that many rows."""
+        while rows > now * self.bucket_rows:
+            now *= 2
+        return now
+
+    def _write(self, base: int, rows: DataFrame, touched: Sequence[int] | None, meta: dict | None = None, schema: T.StructType | None = None, expect: int = 0) -> int:
+        """Commits ``rows`` as the new contents of the buckets ``touched``, or
+        of all. ``expect``: about how many there are, if that is known."""
         m = self.manifest(base)
+        if touched is None:
+            m["buckets"] = self._buckets_for(expect, m["buckets"])
         n = m["buckets"]
         touched = range(n) if touched is None else touched
         part = uuid.uuid4().hex
         schema = schema or T.StructType.fromJson(json.loads(m["schema"]))
-        out = rows.select(*(F.col(f.name).cast(f.dataType) for f in schema)).withColumn("_bucket", self._bucket(n))
+        out = rows.select(*(F.col(f.name).cast(f.dataType) for f in schema))
+        out = (self._sealed(out) if m.get("sealed") else out).withColumn("_bucket", self._bucket(n))
         target = f"{self.root}/data/{part}"
-        out.repartition("_bucket").sortWithinPartitions("_bucket", ID).write.option("compression", self.compression).partitionBy("_bucket").parquet(target)
+        files = max(1, -(-expect // (max(1, len(touched)) * FILE_ROWS)))
+        out = out.repartition(F.col("_bucket"), F.pmod(F.xxhash64(ID, F.lit("file")), F.lit(files))).sortWithinPartitions("_bucket", ID)
+        out.write.option("compression", self.compression).partitionBy("_bucket").parquet(target)
         new = self.spark.read.schema(out.schema).parquet(target).groupBy("_bucket").count().collect()  # one row per bucket
         replaced = set(touched)
         files = {b: p for b, p in m["files"].items() if int(b) not in replaced}
@@ -109,22 +151,38 @@ class Store:
 
     def _in(self, base: int, buckets: Sequence[int]) -> DataFrame:
         m = self.manifest(base)
-        schema = T.StructType.fromJson(json.loads(m["schema"]))
-        paths = [f"{self.root}/data/{m['files'][str(b)]}" for b in buckets if str(b) in m["files"]]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return self._open(m, [m["files"][str(b)] for b in buckets if str(b) in m["files"]])
+
+    def _held(self, base: int, buckets: Sequence[int] | None) -> int:
+        """Rows of some buckets, or all, by the manifest."""
+        m = self.manifest(base)
+        return m["rows"] if buckets is None else sum(m["counts"].get(str(b), 0) for b in buckets)
 
-    def with_ids(self, rows: DataFrame) -> DataFrame:
-        """New ids where there are none; materialised, as they are random."""
+    @contextmanager
+    def with_ids(self, rows: DataFrame) -> Iterator[DataFrame]:
+        """New ids where there are none. They are random, so the rows are
+        written before anything is decided on them, and deleted afterwards."""
         if ID not in rows.columns:
             rows = rows.withColumn(ID, F.lit(None).cast("string"))
-        return rows.withColumn(ID, F.coalesce(F.col(ID), F.expr("uuid()"))).persist()
+        path = f"{self.root}/incoming/{uuid.uuid4().hex}"
+        rows = rows.withColumn(ID, F.coalesce(F.col(ID), F.expr("uuid()"))).withColumn("_at", F.monotonically_increasing_id())
+        try:
+            rows.write.parquet(path)
+            yield self.spark.read.schema(rows.schema).parquet(path)
+        finally:
+            self.files.delete(path)
 
-    def _merge(self, rows: DataFrame, base: int | None, check: str | None) -> int:
-        base = self.latest() if base is None else base
-        n = self.manifest(base)["buckets"]
-        rows = self.with_ids(rows)
-        touched = self._touched(rows, n)
-        old = self._in(base, touched)
+    def _merge(self, rows: DataFrame, base: int | None, check: str | None, meta: dict | None = None) -> int:
+        with self.with_ids(rows) as fresh:
+            return self._merged(fresh, self.latest() if base is None else base, check, meta)
+
+    def _merged(self, rows: DataFrame, base: int, check: str | None, meta: dict | None) -> int:
+        m = self.manifest(base)
+        n, new = m["buckets"], rows.count()
+        grown = self._buckets_for(m["rows"] + new, n) != n
+        touched = None if grown else self._touched(rows, n)
+        old = self.read(base) if grown else self._in(base, touched)
+        expect = new + self._held(base, touched)
         if check == "insert":
             clash = rows.join(old, ID, "left_semi").select(ID).limit(5).collect()
             if clash:
@@ -139,17 +197,9 @@ class Store:
                     raise VersionConflict(", ".join(r[0] for r in stale))
         names = [c for c in old.columns if c not in (ID, VERSION)]
         # rows of one batch with the same id collapse, the last one wins
-        fresh = rows.withColumn("_at", F.monotonically_increasing_id()).groupBy(ID).agg(F.max_by(F.struct(*names), "_at").alias("_new"))
-        both = old.select(ID, F.col(VERSION).alias("_v"), F.struct(*names).alias("_old")).join(fresh, ID, "full_outer")
-        kept = both.select(
-            ID,
-            F.when(F.col("_new").isNotNull(), F.col("_new")).otherwise(F.col("_old")).alias("_row"),
-            F.when(F.col("_new").isNotNull(), F.coalesce(F.col("_v"), F.lit(0)) + 1).otherwise(F.col("_v")).alias(VERSION),
-        )
-        try:
-            return self._write(base, kept.select(ID, *(F.col("_row")[c].alias(c) for c in names), VERSION), touched)
-        finally:
-            rows.unpersist()
+        fresh = rows.groupBy(ID).agg(F.max_by(F.struct(*names), "_at").alias("_new"))
+        kept = merged(old, fresh.select(ID, *(F.col("_new")[c].alias(c) for c in names)), ID, VERSION)
+        return self._write(base, kept, touched, meta, expect=expect)
 
     def insert(self, rows: DataFrame, base: int | None = None) -> int:
         return self._merge(rows, base, "insert")
@@ -158,8 +208,9 @@ class Store:
         """Rows with a ``__version`` must have the stored one."""
         return self._merge(rows, base, "update")
 
-    def upsert(self, rows: DataFrame, base: int | None = None) -> int:
-        return self._merge(rows, base, None)
+    def upsert(self, rows: DataFrame, base: int | None = None, meta: dict | None = None) -> int:
+        """``meta`` becomes part of the same commit."""
+        return self._merge(rows, base, None, meta)
 
     def update_where(self, condition, assignments: dict, base: int | None = None) -> int:
         """Sets columns to expressions of the row where ``condition`` holds."""
@@ -167,21 +218,22 @@ class Store:
         df = self.read(base)
         hit = F.coalesce(condition, F.lit(False))
         touched = self._touched(df.filter(hit), self.manifest(base)["buckets"])
-        df = self._in(base, touched)
-        new = df.withColumns({c: F.when(hit, e).otherwise(F.col(c)) for c, e in (assignments | {VERSION: F.col(VERSION) + 1}).items()})
-        return self._write(base, new, touched)
+        df, expect = self._in(base, touched), self._held(base, touched)
+        new = assigned(df, condition, assignments, VERSION)
+        return self._write(base, new, touched, expect=expect)
 
     def delete(self, ids: DataFrame, base: int | None = None) -> tuple[int, int]:
         """(version, rows deleted)."""
         base = self.latest() if base is None else base
         m = self.manifest(base)
         touched = self._touched(ids, m["buckets"])
-        v = self._write(base, self._in(base, touched).join(ids.select(ID).distinct(), ID, "left_anti"), touched)
+        left = without(self._in(base, touched), ids, ID)
+        v = self._write(base, left, touched, expect=self._held(base, touched))
         return v, m["rows"] - self.count(v)
 
     def replace(self, rows: DataFrame, meta: dict | None = None, schema: T.StructType | None = None, base: int | None = None) -> int:
         base = self.latest() if base is None else base
-        return self._write(base, rows, None, meta, schema)
+        return self._write(base, rows, None, meta, schema, rows.count())
 
     def delete_all(self) -> int:
         return self.replace(self.read().limit(0))

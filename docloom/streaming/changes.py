@@ -24,14 +24,13 @@ def windowed_counts(stream: DataFrame, time: str, width: str, late: str, *by: st
 
 def upsert_stream(stream: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
     """Every micro-batch becomes a version of ``store``. The batch's number is
-    kept with the store, so a batch replayed after a failure is skipped."""
+    part of that commit, so a batch replayed after a failure is skipped, and one
+    that wasn't committed is applied once."""
 
     def put(batch: DataFrame, number: int) -> None:
         done = store.meta().get("batch", -1)
         if number <= done or batch.isEmpty():
             return
-        v = store.upsert(batch)
-        m = store.manifest(v)
-        store._commit(v + 1, m | {"meta": m["meta"] | {"batch": number}})
+        store.upsert(batch, meta={"batch": number})
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).start()

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.errors import IndexExists, IndexMissing, UnsupportedIndexType
 from docloom.functions.text import TextConfig
@@ -85,6 +86,11 @@ def test_manager(spark, tmp_path):
     again = Indexes()
     assert ids(again.load(spark, str(tmp_path), "t", "fulltext").search("fox")) == ["1", "2"]
     assert again.load(spark, str(tmp_path), "n", "btree").max_key() == 7
+    exact = TextIndex.build(df, "t", config=TextConfig.exact())
+    exact.save(str(tmp_path / "exact"))
+    kept = TextIndex.load(spark, str(tmp_path / "exact"), "t")
+    assert kept.config == TextConfig.exact() and kept.documents == 2 and kept.search_all(["Fox"]).isEmpty()
+    assert kept.ranked("fox red").collect() == exact.ranked("fox red").collect()
     m.remove("n")
     assert m.fields == ["t"] and m.kind("t") == "fulltext" and not m.has("n")
 
@@ -100,3 +106,25 @@ def test_access(spark):
     assert ("admin", "guest") in got and ("loop1", "loop1") in got and ("loop2", "loop1") in got and not any("off" in x for x in got)
     assert access.roles_granting(roles, P("entity:create")) == ["admin", "super_admin", "transaction_manager", "user"]
     assert access.has_cycle(roles) and not access.has_cycle(roles.filter("not startswith(name, 'loop')"))
+
+
+def test_checks(spark):
+    """Implication on columns is that of single permissions; unknown users have
+    none."""
+    P = access.Permission.parse
+    names = ["*:*", "*:read", "entity:*", "entity:admin", "entity:write", "entity:create", "entity:read", "entity:read:own", "entity:read:group", "entity:write:organization", "user:read"]
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
+    got = {(r.a, r.b): r.ok for r in pairs.select("a", "b", access.implied(F.col("a"), F.col("b")).alias("ok")).collect()}
+    assert got == {(a, b): P(a).implies(P(b)) for a in names for b in names}
+    roles = spark.createDataFrame(access.seed_roles(), access.ROLE_SCHEMA)
+    users = spark.createDataFrame([("ann", "admin"), ("bob", "guest"), ("bob", "gone")], "user string, role string")
+    assert access.check_permission(users, roles, "ann", P("entity:delete")) and not access.check_permission(users, roles, "bob", P("entity:delete"))
+    assert not access.check_permission(users, roles, "eve", P("entity:read"))
+    assert access.check_permissions(users, roles, "bob", [P("entity:read"), P("collection:read")]) and not access.check_permissions(users, roles, "bob", [P("entity:read"), P("user:read")])
+
+
+def test_permission_sets():
+    P = access.Permission.parse
+    a, b = access.PermissionSet({P("entity:write"), P("user:read")}), access.PermissionSet({P("entity:create"), P("*:read:own")})
+    assert (a | b).grants_all([P("entity:delete"), P("x:read:own")]) and isinstance(a | b, access.PermissionSet)
+    assert a & b == {P("entity:create")} and (a - {P("user:read")}).grants(P("entity:update")) and not (a - {P("user:read")}).grants(P("user:read"))

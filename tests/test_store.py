@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from docloom.database import Database, valid_field, valid_id, valid_name
 from docloom.errors import DocumentExists, DocumentNotFound, MigrationError, StorageError, TransactionConflict, TransactionError, TypeMismatch, VersionConflict
 from docloom.operators import migrations as M
+from docloom.operators.collection import Collection, CollectionConfig, count_where, exists_where
 from docloom.operators.transactions import Isolation, Transaction, Transactions
 from docloom.plans import predicates as P
 from docloom.plans.cache import ResultCache
@@ -154,7 +155,7 @@ def test_migrations(spark, store):
     before = store.latest()
     with pytest.raises(MigrationError):
         M.Migrator(store, [M.Migration("0.0.0", "3.0.0", up=lambda df: df.drop("id"))]).migrate("3.0.0")
-    assert store.latest() == before
+    assert store.manifest()["files"] == store.manifest(before)["files"]  # the log alone has moved on
 
 
 def test_database(spark, tmp_path):
@@ -203,3 +204,118 @@ def test_cache(spark):
     now[0] = 11
     assert c.get(ps[1]) is None and c.statistics.expirations == 1
     assert c.statistics.hit_ratio == pytest.approx(1 / 3)
+
+
+def test_a_manifest_is_whole_or_absent(spark, tmp_path):
+    """Of two writers of one name the second gets nothing, and no reader ever
+    sees a part of a file or a draft."""
+    from docloom.sources.files import Files
+
+    files, path = Files(spark), str(tmp_path / "manifest" / "1.json")
+    assert files.create(path, "first") and not files.create(path, "second")
+    assert files.read(path) == "first" and [n for n in files.names(str(tmp_path / "manifest")) if not n.endswith(".crc")] == ["1.json"]
+
+
+def test_buckets_grow_with_the_table(spark, tmp_path):
+    many = spark.range(500).selectExpr("cast(id as string) as id", "concat('n', id) as name", "cast(id as double) as price")
+    s = Store(spark, str(tmp_path / "g"), spark.createDataFrame([], SCHEMA).schema, 2, bucket_rows=50)
+    s.insert(many.filter("price < 90"))
+    assert s.manifest()["buckets"] == 2
+    s.upsert(many)
+    assert s.manifest()["buckets"] == 16 and s.count() == 500 == s.read().count()
+    assert s.get("7").first()["__version"] == 2 and s.get("400").first()["__version"] == 1
+    assert s.delete(many.filter("price >= 100").select("id"))[1] == 400 and s.get("450").first() is None
+
+
+def test_new_ids_are_drawn_once(spark, store):
+    v = store.insert(rows(spark, *[(None, f"n{i}", 1.0) for i in range(40)]))
+    assert store.read(v).select("id").distinct().count() == 43
+    assert not store.files.names(f"{store.root}/incoming")
+
+
+def test_counts_of_variants(spark):
+    df = spark.sql("select cast(id as string) as id, parse_json(concat('{\"a\": ', id, '}')) as doc from range(7)")
+    c = Collection(df, variant="doc")
+    p = P.Greater("a", 4)
+    assert c.find(p).count() == c.count_where(p) == 2 and c.exists_where(p) and not c.exists_where(P.Greater("a", 9))
+    assert count_where(df, p, "doc").first()[0] == 2 and exists_where(df, p, "doc").first()[0]
+
+
+def test_collections_share_a_cache(spark, store):
+    cache = ResultCache()
+    a, b, c = Collection(spark.range(5), cache=cache), Collection(spark.range(50), cache=cache), Collection(store, cache=cache)
+    p = P.Greater("id", 1)
+    assert a.find(p).count() == 3 and b.find(p).count() == 48 and a.find(p).count() == 3
+    assert cache.statistics.hits == 1
+    c.find(P.All())
+    assert a.clear_cache() == 1 and len(cache) == 2
+    b.disable_cache()
+    assert len(cache) == 1 and b.find(p).count() == 48 and len(cache) == 1
+    b.enable_cache()
+    assert b.find(p).count() == 48 and len(cache) == 2 and b.prune_cache() == 0
+
+
+def test_indexes_follow_writes(spark, store, tmp_path):
+    c = Collection(store)
+    c.create_index("price")
+    c.create_index("name", "hash")
+    assert c.count_where(P.Greater("price", 1.5)) == 2 and c._keys(P.Greater("price", 1.5)) is not None
+    assert c._keys(P.Greater("name", "A")) is None and c._keys(P.Equals("price", None)) is None and c._keys(P.NotEquals("price", 1.0)) is None
+    saved = str(tmp_path / "indexes")
+    assert c.save_indexes(saved) == ["name", "price"]
+    again = Collection(store)
+    assert again.load_indexes(saved) == ["name", "price"] and again.count_where(P.Equals("name", "A")) == 1
+    c.insert({"id": "z", "name": "A", "price": 50.0})
+    assert c.count_where(P.Greater("price", 1.5)) == 3 and c.exists_where(P.Between("price", 40.0, 60.0)) and c.count_where(P.In("name", ("A", "B"))) == 3
+    assert {r.id for r in c.by_index(c.indexes.key("name").search("A")).collect()} == {"a", "z"}
+    store.vacuum(1)
+    assert c.count_where(P.Greater("price", 1.5)) == 3
+    assert Collection(store).load_indexes(saved) == []  # of an older version
+
+
+def test_documents_as_objects(spark, store):
+    from dataclasses import dataclass
+    from datetime import timedelta
+
+    @dataclass
+    class Item:
+        id: str
+        price: timedelta
+
+    c = Collection(store.read().withColumn("price", F.col("price").cast("long")))
+    got = {o.id: o.price for o in c.objects(Item, kinds={"price": "duration"})}
+    assert got == {"a": timedelta(microseconds=1), "b": timedelta(microseconds=2), "c": timedelta(microseconds=3)}
+
+
+def test_failed_migrations_are_logged(spark, store):
+    bad = M.Migration("0.0.0", "1.0.0", lambda df: df.drop("id"), note="lose")
+    m = M.Migrator(store, [bad])
+    with pytest.raises(MigrationError):
+        m.migrate("1.0.0")
+    assert m.version == "0.0.0" and store.count() == 3 and [(e["status"], e["steps"]) for e in m.log()] == [("failed", ["lose"])]
+    each = M.per_document(lambda d: d | {"name": d["name"] * 2}, "0.0.0", "1.0.0", lambda d: d | {"name": d["name"][: len(d["name"]) // 2]})
+    m = M.Migrator(store, [each])
+    assert state(m.migrate("1.0.0"))["a"] == ("AA", 1.0) and state(m.migrate("0.0.0"))["a"] == ("A", 1.0)
+    assert [e["status"] for e in m.log()] == ["failed", "success", "success"]
+
+
+def test_config(spark, tmp_path):
+    db = Database(spark, str(tmp_path / "db"))
+    c = db.collection("things", SCHEMA, config=CollectionConfig(cached=2, buckets=3, compression="gzip"))
+    c.insert({"id": "a", "name": "x", "price": 1.0})
+    assert c.cache.most == 2 and c.source.manifest()["buckets"] == 3 and c.source.compression == "gzip"
+
+
+def test_encryption(spark, tmp_path):
+    key, root = b"0123456789abcdef", str(tmp_path / "secret")
+    df = spark.sql("select '1' as id, 'Ann' as name, 1.5D as price, timestamp'2024-05-01 10:11:12.123456' as at, timestamp_ntz'2024-05-01 10:11:12.123456' as plain, array('x', null) as tags")
+    s = Store(spark, root, df.schema, 2, key=key)
+    s.insert(df)
+    s.upsert(df.withColumn("name", F.lit("Bea")))
+    assert s.read().drop("__version").collect() == df.withColumn("name", F.lit("Bea")).collect() and s.get("1").first()["__version"] == 2
+    part = next(iter(s.manifest()["files"].values()))
+    assert spark.read.parquet(f"{root}/data/{part}").columns == ["id", "_sealed", "__version"]
+    with pytest.raises(StorageError):
+        Store(spark, root).read()
+    with pytest.raises(Exception):
+        Store(spark, root, key=b"fedcba9876543210").read().collect()

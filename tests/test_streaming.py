@@ -15,6 +15,7 @@ def test_stream_upserts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert store.count() == 2 and store.meta()["batch"] == 0
+    assert store.latest() == 1  # the batch and its number are one commit
 
 
 def test_windows(spark, tmp_path):
