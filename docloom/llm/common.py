@@ -3,10 +3,6 @@ written intermediate tables, size-checked broadcasts and distributed ranks."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -16,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import fresh_folder
 from ..sources.spread import spread
 
 #: A side is broadcast only if its measured size is below this many bytes.
@@ -30,25 +27,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def workdir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a temporary folder."""
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if not hasattr(workdir, "own"):
-        workdir.own = tempfile.mkdtemp(prefix="docloom-")
-        atexit.register(shutil.rmtree, workdir.own, True)
-    return f"file://{workdir.own}"
-
-
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder's path in the shared folder."""
-    path = f"{workdir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_folder(spark, name)
     _made.append(path)
     return path
 
@@ -66,15 +47,23 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 _made: list[str] = []
 
 
-def release(spark: SparkSession) -> int:
-    """Deletes the intermediate tables this process has written; to be called
-    when the results that build on them are stored."""
+def made() -> int:
+    """How many intermediate tables this process has written and not deleted."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Deletes the intermediate tables this process has written, but for the
+    first ``since`` and the last ``keep``; to be called when the results that
+    build on them are stored."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    n = len(_made)
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+    end = len(_made) - keep
+    gone = _made[since:end]
+    del _made[since:end]
+    for p in gone:
+        path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
-    return n
+    return len(gone)
 
 
 def keyed(docs: DataFrame) -> DataFrame:

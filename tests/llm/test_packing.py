@@ -87,12 +87,26 @@ def test_reruns_agree(docs, awkward, seed):
     assert sorted(map(str, K.pack(d).collect())) == sorted(map(str, K.pack(d.repartition(seed)).collect()))
 
 
+def test_rows_without_a_name(docs):
+    """Null and repeated ids in bulk, many of them of one length."""
+    rows = [(None, "same text here")] * 200 + [(None, f"text number {i}") for i in range(100)] + [(7, f"other {i % 5}") for i in range(100)]
+    got = K.pack(docs(rows), capacity=16).toPandas()
+    assert len(got) == 400
+    for _, g in got.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert g.offset.iloc[0] == 0 and (g.offset.iloc[1:].to_numpy() == (g.offset + g.length).iloc[:-1].to_numpy()).all() and g.length.sum() <= 16
+
+
 def test_intermediate_tables_can_be_released(spark):
     import os
 
-    from docloom.llm.common import release, workdir, written
+    from docloom.llm.common import made, release, written
+    from docloom.sources.scratch import shared_folder
 
-    root = workdir(spark).removeprefix("file://")
+    root = shared_folder(spark).removeprefix("file://")
     df = written(spark.range(3), "kept")
     assert df.count() == 3 and any(n.startswith("kept-") for n in os.listdir(root))
-    assert release(spark) >= 1 and not any(n.startswith("kept-") for n in os.listdir(root))
+    before = made()
+    later, last = written(spark.range(2), "later"), written(spark.range(2), "last")
+    assert later.count() == 2 and release(spark, before, keep=1) == 1 and last.count() == 2
+    assert release(spark) >= 1 and not any(n.startswith(("kept-", "last-")) for n in os.listdir(root))
