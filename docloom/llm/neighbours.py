@@ -16,7 +16,7 @@ cell only if the triangle bound, its product with the centre plus its length
 times the cell's radius, reaches its threshold. That prunes clustered vectors;
 of evenly spread ones every cell is met, and the work is queries times rows.
 
-Queries go in blocks of at most ``BLOCK``, each broadcast, compared with all
+Queries go in blocks of at most ``BLOCK_BYTES``, each broadcast, compared with all
 rows in place, and its results written, before the next: no row is shuffled but
 each task's best ``k`` per query, and the driver holds one block at a time. The
 sample also gives the first thresholds; which rows are indexed doesn't depend
@@ -42,8 +42,8 @@ from .common import appended, written
 
 K = 20
 EVERY = 20
-#: Queries to a broadcast.
-BLOCK = 1 << 16
+#: Bytes of queries to a broadcast, which takes three times as much.
+BLOCK_BYTES = 8 << 20
 #: Rows that centres and first thresholds are fitted on.
 SAMPLE = 1 << 13
 CELLS = 64
@@ -213,7 +213,7 @@ def first_floor(ids: np.ndarray, x: np.ndarray, sample_ids: np.ndarray, sample_x
     return floor
 
 
-def nearest(table: DataFrame, queries: DataFrame | None = None, k: int = K, block: int = BLOCK, epsilon: float = EPSILON, seed: int = SEED) -> DataFrame:
+def nearest(table: DataFrame, queries: DataFrame | None = None, k: int = K, block: int | None = None, epsilon: float = EPSILON, seed: int = SEED) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest rows of ``table``
     (vec_id, embedding) to each of ``queries`` (default: to every row whose id
     is divisible by EVERY)."""
@@ -223,7 +223,7 @@ def nearest(table: DataFrame, queries: DataFrame | None = None, k: int = K, bloc
     asked = asked.groupBy("vec_id").agg(F.min("v").alias("v"))
     found = appended(spark, "neighbours", "query_id long, vec_id long, score double")
     if dim:
-        asked, many = _blocks(asked, block)
+        asked, many = _blocks(asked, block or max(1, BLOCK_BYTES // (8 * dim)))
         sample = rows.limit(SAMPLE).toArrow()  # bounded
         sample_ids, sample_x = sample.column("vec_id").to_numpy(), matrix(sample.column("v"), dim)
         turn = rotation(dim, seed=seed)
