@@ -288,7 +288,6 @@ def split_big(rows: DataFrame, big: int) -> DataFrame:
     """Shards above ``big`` split by one to three vantage points of the other
     half: each part also gets the visitors its triangle bounds admit."""
     sizes = written(rows.groupBy("key").agg(F.count("*").alias("many")).filter(F.col("many") > big), "big")
-    rows = rows.withColumn("part", F.lit(0).cast("long"))
     if sizes.isEmpty():
         return rows
     rows = sized_join(rows, sizes, "key", "left").withColumn("many", F.coalesce("many", F.lit(0)))
@@ -311,7 +310,10 @@ def split_big(rows: DataFrame, big: int) -> DataFrame:
 
 def near_links(classes: DataFrame, big: int = BIG_SHARD, deep: int | None = None) -> DataFrame:
     """(kind, x, y) over different fingerprints ``classes`` (fp, n; written)."""
-    rows = split_big(sharded(classes, deep or levels(classes.count())), big)
+    n = classes.count()
+    rows = sharded(classes, deep or levels(n)).withColumn("part", F.lit(0).cast("long"))
+    if n > big:  # else no shard can be
+        rows = split_big(rows, big)
     rows = rows.select("key", "part", "half", "kind", "fp", "n").repartition("key", "part").sortWithinPartitions("key", "part", "fp")
     rows = rows.select(F.xxhash64("key", "part").alias("key"), "half", "kind", "fp", "n")
 
