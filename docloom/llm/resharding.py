@@ -33,8 +33,8 @@ from .common import digests, folder, rank_within, text_bytes, written
 SHARDS = 16
 FINE = 256
 SEED = 6
-#: Rows to a file of a rewritten shard.
-RUN = 1 << 16
+#: Bytes of text to a file of a rewritten shard, about.
+FILE_BYTES = 32 << 20
 
 
 def min_cost_flow(supply: Sequence[int], demand: Sequence[int], cost: Sequence[Sequence[int]]) -> list[list[int]]:
@@ -212,15 +212,19 @@ def affected(placed: DataFrame) -> list[int]:
 
 def rewrite_affected(docs: DataFrame, placed: DataFrame, out: str) -> list[int]:
     """Writes the shards that changed under ``out``, a folder
-    ``docloom_shard=n`` each, in the order of their ``docloom_slot``; returns their numbers. ``docs``: the table
+    ``docloom_shard=n`` of files each, sorted by ``docloom_slot``; returns their numbers. ``docs``: the table
     that ``placed`` (file, row, old, shard, slot) was located in."""
     dirty = affected(placed)
+    if not dirty:
+        return dirty
+    total = placed.filter(F.col("shard").isin(dirty)).agg(F.sum("size")).first()[0]
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // (FILE_BYTES * len(dirty))))
     moves = placed.filter(F.col("shard").isin(dirty)).select(F.col("file").alias("_docloom_file"), F.col("row").alias("_docloom_row"), F.col("shard").alias("_docloom_shard"), F.col("slot").alias("_docloom_slot"))
     texts = docs.select("*", F.col("_metadata.file_path").alias("_docloom_file"), F.col("_metadata.row_index").alias("_docloom_row"))
-    both = texts.join(moves, ["_docloom_file", "_docloom_row"]).drop("_docloom_file", "_docloom_row")
-    # a shard is several files, one for each run of slots
-    both = both.withColumn("_docloom_run", F.floor(F.col("_docloom_slot") / RUN)).repartition("_docloom_shard", "_docloom_run").sortWithinPartitions("_docloom_shard", "_docloom_slot")
-    both.drop("_docloom_run").withColumnsRenamed({"_docloom_shard": "docloom_shard", "_docloom_slot": "docloom_slot"}).write.partitionBy("docloom_shard").parquet(out)
+    # the only shuffle of texts: every task has a file's worth of each shard
+    where = ["_docloom_file", "_docloom_row"]
+    both = texts.repartition(tasks, *where).join(moves.repartition(tasks, *where), where).drop(*where)
+    both.sortWithinPartitions("_docloom_shard", "_docloom_slot").withColumnsRenamed({"_docloom_shard": "docloom_shard", "_docloom_slot": "docloom_slot"}).write.partitionBy("docloom_shard").parquet(out)
     return dirty
 
 
