@@ -40,9 +40,9 @@ def test_sizes_and_targets_by_sql(spark, tables):
     """Of op5: water-filling by sorting sources by what fills them."""
     want = tables.sql(f"""WITH d AS (SELECT doc_id, source, {SIZE}::BIGINT AS size FROM documents),
       s AS (SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][1 + (row_number() OVER (ORDER BY source) - 1) % 3] AS weight FROM d GROUP BY source),
-      o AS (SELECT *, 2 * source_size / weight AS full, (1.5 * sum(source_size) OVER () - coalesce(sum(2 * source_size) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
-        FROM s WINDOW before AS (ORDER BY 2 * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-      t AS (SELECT source, source_size, least(2 * source_size, weight * coalesce((SELECT arg_min(level, full) FROM o WHERE full > level), 'inf'::DOUBLE)) AS target FROM o)
+      o AS (SELECT *, 2 * source_size / weight AS fills, (1.5 * sum(source_size) OVER () - coalesce(sum(2 * source_size) OVER earlier, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER earlier, 0)) AS level
+        FROM s WINDOW earlier AS (ORDER BY 2 * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+      t AS (SELECT source, source_size, least(2 * source_size, weight * coalesce((SELECT arg_min(level, fills) FROM o WHERE fills > level), 'inf'::DOUBLE)) AS target FROM o)
       SELECT doc_id, size, source_size, round(target, 6) FROM d JOIN t USING (source)""").fetchall()
     got = column(spark, "op5_", "doc_id", "size", "source_size", "target")
     assert [(*r[:3], round(r[3], 6)) for r in got] == sorted(want)
@@ -68,7 +68,7 @@ def test_base_columns_by_sql(spark, tables):
       p AS (SELECT doc_id, unnest(range(1, greatest(len(w) - 1, 1)::BIGINT)) AS k, w FROM d),
       g AS (SELECT doc_id, k, w[k : k + 2] AS g FROM p),
       twice AS (SELECT doc_id, g FROM g GROUP BY ALL HAVING count(*) > 1),
-      covered AS (SELECT doc_id, count(DISTINCT at) AS n FROM (SELECT doc_id, unnest([k, k + 1, k + 2]) AS at FROM g JOIN twice USING (doc_id, g)) GROUP BY doc_id),
+      covered AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest([k, k + 1, k + 2]) AS place FROM g JOIN twice USING (doc_id, g)) GROUP BY doc_id),
       lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
       dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id)
       SELECT doc_id, len(w), list_sum(list_transform(w, lambda x: length(x)))::BIGINT, len(regexp_extract_all(t, '[#*$%&|<>]')), coalesce(dup.n, 0), coalesce(covered.n, 0),
