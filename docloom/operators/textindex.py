@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import TextConfig
 from ..sources.files import Files
+from ..sources.spread import segments
 
 
 @dataclass(frozen=True)
@@ -27,14 +28,20 @@ class TextIndex:
     tokens: DataFrame | None = None
     #: Documents with a term, if that is known.
     documents: int | None = None
+    #: (id, text), if the index isn't a stored one: saving spreads the texts.
+    texts: DataFrame | None = None
 
     @classmethod
     def build(cls, df: DataFrame, name: str, id_: str = "id", config: TextConfig | None = None) -> TextIndex:
         config = config or TextConfig()
-        tokens = df.select(F.col(id_).alias("id"), config.column(F.col(name)).alias("tokens"))
+        return cls._of_texts(df.select(F.col(id_).alias("id"), F.col(name).alias("text")), name, config)
+
+    @classmethod
+    def _of_texts(cls, texts: DataFrame, name: str, config: TextConfig) -> TextIndex:
+        tokens = texts.select("id", config.column(F.col("text")).alias("tokens"))
         # the outer form: for the inner one Catalyst infers filters that tokenise twice more
         postings = tokens.select("id", F.posexplode_outer("tokens").alias("pos", "term")).filter("term is not null")
-        return cls(name, postings.select("term", "id", "pos"), config, tokens)
+        return cls(name, postings.select("term", "id", "pos"), config, tokens, texts=texts)
 
     def _of(self, terms: Sequence[str]) -> DataFrame:
         return self.postings.filter(F.col("term").isin(*terms))
@@ -121,11 +128,14 @@ class TextIndex:
         return self.postings.agg(F.count_distinct("term").alias("terms"), F.count("*").alias("entries"), F.count_distinct("id").alias("documents"))
 
     def save(self, path: str) -> None:
-        """Postings in the order of terms, so that a term's row groups are found
-        by their limits, and a card with the configuration and the number of
-        documents. A frequent term may be in several files."""
+        """Segments of documents, and a card with the configuration and the
+        number of documents. Postings outweigh the texts, so the texts are
+        spread; each task tokenises its own, once, and writes their postings in
+        the order of terms: a term's pages are found in every file by their
+        limits."""
         spark = self.postings.sparkSession
-        self.postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id", "pos").write.mode("overwrite").parquet(f"{path}/postings")
+        postings = self.postings if self.texts is None else self._of_texts(segments(self.texts), self.name, self.config).postings
+        postings.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
         stored = spark.read.parquet(f"{path}/postings")
         files = Files(spark)
         files.delete(f"{path}/card.json")

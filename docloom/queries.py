@@ -445,7 +445,7 @@ def saved_text_index(spark, sf_dir, config: TextConfig | None = None) -> TextInd
     key = spark.sparkContext.applicationId, sf_dir, config or TextConfig()
     if key not in _saved:
         _saved[key] = fresh_folder(spark, "postings")
-        text_index(spark, sf_dir, config).save(_saved[key])
+        TextIndex.build(table(spark, sf_dir, "documents"), "text", "doc_id", config).save(_saved[key])
     return TextIndex.load(spark, _saved[key], "text")
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 
 #: No table above this size is shuffled for it.
 SPREAD_BYTES = 256 << 20
+#: Bytes of files to a segment.
+SEGMENT_BYTES = 16 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -18,3 +20,15 @@ def spread(df: DataFrame) -> DataFrame:
         return df
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size <= SPREAD_BYTES else df
+
+
+def segments(df: DataFrame) -> DataFrame:
+    """``df`` in even parts of at most about ``SEGMENT_BYTES`` of the files it
+    is read from, equally many for every core: for work on rows that costs far
+    more than shuffling them. What isn't read from files is left as it is."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    if size >= 1 << 60:  # unknown
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores * max(1, -(-size // (cores * SEGMENT_BYTES))))

@@ -95,6 +95,34 @@ def test_manager(spark, tmp_path):
     assert m.fields == ["t"] and m.kind("t") == "fulltext" and not m.has("n")
 
 
+def test_saved_in_segments(spark, tmp_path):
+    """Saving reads every text once, spreads those of one file over the cores,
+    and writes each part in the order of terms; nothing else differs."""
+    import pyarrow.parquet as pq
+
+    rows = [(f"d{i % 70}", f"red w{i % 7} Fox w{i % 11}, very very w{i % 13}") for i in range(80)] + [(None, "red owl"), ("e", None), ("f", "")]
+    spark.createDataFrame(rows, "id string, body string").coalesce(1).write.parquet(str(tmp_path / "texts"))
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(t):
+        read.add(1)
+        return t
+
+    built = TextIndex.build(spark.read.parquet(str(tmp_path / "texts")).select("id", counted("body").alias("body")), "body")
+    built.save(str(tmp_path / "saved"))
+    assert read.value == len(rows)
+    parts = [pq.ParquetFile(p).read()["term"].to_pylist() for p in (tmp_path / "saved" / "postings").glob("*.parquet")]
+    assert len(parts) >= spark.sparkContext.defaultParallelism and all(p == sorted(p) for p in parts)
+    kept = TextIndex.load(spark, str(tmp_path / "saved"), "body")
+    plain = lambda df: sorted(map(repr, df.collect()))
+    assert plain(kept.postings) == plain(built.postings) and kept.ranked("w3 red").collect() == built.ranked("w3 red").collect()
+    assert kept.documents == built.statistics().first()["documents"] == 70
+    kept.save(str(tmp_path / "again"))
+    again = TextIndex.load(spark, str(tmp_path / "again"), "body")
+    assert plain(again.postings) == plain(kept.postings) and again.documents == 70
+
+
 def test_access(spark):
     P = access.Permission.parse
     assert P("entity:write").implies(P("entity:delete")) and not P("entity:write").implies(P("entity:read"))
