@@ -136,10 +136,15 @@ class TextIndex:
         spark = self.postings.sparkSession
         postings = self.postings if self.texts is None else self._of_texts(segments(self.texts), self.name, self.config).postings
         postings.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        stored = spark.read.parquet(f"{path}/postings")
+        documents = self.documents
+        if documents is None:
+            stored = spark.read.parquet(f"{path}/postings")
+            # of tokenised texts, those with a term have one at 0
+            some = stored if self.tokens is None else stored.filter("pos = 0")
+            documents = some.agg(F.count_distinct("id")).first()[0]
         files = Files(spark)
         files.delete(f"{path}/card.json")
-        files.create(f"{path}/card.json", json.dumps({"config": asdict(self.config), "documents": stored.agg(F.count_distinct("id")).first()[0]}))
+        files.create(f"{path}/card.json", json.dumps({"config": asdict(self.config), "documents": documents}))
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, name: str, config: TextConfig | None = None) -> TextIndex:

@@ -123,6 +123,26 @@ def test_saved_in_segments(spark, tmp_path):
     assert plain(again.postings) == plain(kept.postings) and again.documents == 70
 
 
+def test_saved_exact(spark, tmp_path):
+    """Documents are counted by their first tokens, whatever stands before
+    them; those without tokens, and copies of an id, don't count."""
+    rows = [("a", "... The end"), ("b", "the"), ("c", " ?! "), ("a", "The The"), ("d", "-The"), (None, "The"), ("e", None)]
+    spark.createDataFrame(rows, "id string, body string").coalesce(1).write.parquet(str(tmp_path / "texts"))
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(t):
+        read.add(1)
+        return t
+
+    built = TextIndex.build(spark.read.parquet(str(tmp_path / "texts")).select("id", counted("body").alias("body")), "body", config=TextConfig.exact())
+    built.save(str(tmp_path / "saved"))
+    assert read.value == len(rows)
+    kept = TextIndex.load(spark, str(tmp_path / "saved"), "body")
+    assert kept.documents == built.statistics().first()["documents"] == 3
+    assert {r["id"] for r in kept.search_all(["The"]).collect()} == {"a", "d", None} and ids(kept.search_all(["the"])) == ["b"]
+
+
 def test_access(spark):
     P = access.Permission.parse
     assert P("entity:write").implies(P("entity:delete")) and not P("entity:write").implies(P("entity:read"))
